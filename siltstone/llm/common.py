@@ -58,8 +58,8 @@ def components(edges: DataFrame) -> DataFrame:
         nxt = j.select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(small_low.select(F.col("m").alias("a"), F.col("b")))
         nxt = cut(nxt.where("a <> b").distinct())
         # a star forest: no node is both a root and a leaf, and no leaf has two roots
-        roots = nxt.select("a").distinct()
-        open_ = nxt.join(roots, nxt.b == roots.a, "left_semi").limit(1).count() or nxt.groupBy("b").count().where("count > 1").limit(1).count()
+        roots = nxt.select(F.col("a").alias("r")).distinct()
+        open_ = nxt.join(roots, F.col("b") == F.col("r"), "left_semi").limit(1).count() or nxt.groupBy("b").count().where("count > 1").limit(1).count()
         e = nxt
         if not open_:
             return e.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())

@@ -25,6 +25,8 @@ BAD = ["casino", "poker", "bets", "betting", "slots", "jackpot", "lottery", "win
 GOOD = ["news", "science", "library", "university", "history", "garden", "recipes", "weather", "museum", "travel", "health", "music", "theatre", "docs", "research", "school", "journal", "archive", "forum", "wiki", "mathematics", "education", "nation", "station", "ethics", "north", "southern", "brother", "reading", "cooking", "stonework", "the", "her", "honest", "table", "shed", "winter", "hand", "thread", "then", "other", "motion"]
 BITS, GRAM = 12, 4
 SCALE = 1_000_000
+#: Log-odds that the model must be sure by before it blocks.
+MARGIN = 0.5
 #: The model sees rows of length one; a typical url has about this many n-grams, so b + w.x / sqrt(n) > 0 is judged as b * n + w.x * GRAIN > 0.
 GRAIN = 6
 
@@ -61,7 +63,7 @@ def weights() -> tuple[int, ...]:
         p = 1 / (1 + np.exp(-(x @ w + b)))
         w -= 2.0 * (x.T @ (p - y) / len(y) + 2e-4 * w)
         b -= 2.0 * (p - y).mean()
-    return tuple(int(v) for v in np.rint(np.concatenate([[b], w]) * SCALE))
+    return tuple(int(v) for v in np.rint(np.concatenate([[b - MARGIN], w]) * SCALE))
 
 
 def host_path(url: Column) -> tuple[Column, Column]:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import op4_url_filters, op9_quality_rules, op10_sentencepiece
+from . import op3_decontamination, op4_url_filters, op8_simhash, op9_quality_rules, op10_sentencepiece
 
 QUERIES = {
+    "op3_decontamination": op3_decontamination.op3_decontamination,
     "op4_url_filters": op4_url_filters.op4_url_filters,
+    "op8_simhash": op8_simhash.op8_simhash,
     "op9_quality_rules": op9_quality_rules.op9_quality_rules,
     "op10_sentencepiece": op10_sentencepiece.op10_sentencepiece,
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    """op10 has none: SQL can't run the library; tests hold it against sentencepiece itself."""
-    return {"op4_url_filters": op4_url_filters.sql(), "op9_quality_rules": op9_quality_rules.SQL}
+    """op8 and op10 have none: SQL has neither their hashing nor the library; tests hold them against brute force and sentencepiece."""
+    return {"op3_decontamination": op3_decontamination.sql(), "op4_url_filters": op4_url_filters.sql(), "op9_quality_rules": op9_quality_rules.SQL}
