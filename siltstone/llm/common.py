@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,9 +30,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read back from the shared checkpoint folder: lost executors cost no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows, written as Parquet to the shared folder and read back: lost executors cost no recomputation.
+
+    The tables lie in a folder of this application's own, which is removed when the driver ends.
+    """
+    spark = df.sparkSession
+    top = f"{shared_dir(spark)}/cut-{spark.sparkContext.applicationId}"
+    if top not in _made:
+        _made.add(top)
+        atexit.register(_remove, spark, top)
+    path = f"{top}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_made: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Best effort: the session may have ended before."""
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001
+        pass
 
 
 def ascii_lower(c):
