@@ -1,10 +1,411 @@
-"""Every query of the library by name, with its SQL where SQL can state it."""
+"""Every query of the library by name, with its SQL where SQL can state it.
+
+Searches take as queries every row whose id is divisible by 50, against all rows.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import filters, temporal
+from .operators import documents as D
+from .operators import evaluation, ingest, retrieval, similarity, taxonomy
+from .sources import parsers
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+NOW = "2024-02-01"
 
 
 def oracle_sql() -> dict[str, str]:
     return SQL
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+# --- vectors
+
+_PAIRS = """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, r.vec_id AS id, q.label AS q_label, r.label AS label, list_cosine_similarity(q.v, r.v) AS score FROM e q, e r WHERE q.vec_id % 50 = 0)"""
+
+
+def _vectors(spark, sf):
+    e = _t(spark, sf, "embeddings")
+    return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("q_label")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+
+
+def _ranked(d: DataFrame, *more: str) -> DataFrame:
+    return d.select("query_id", "id", F.round("score", 6).alias("score"), "rank", *more)
+
+
+_TOP = "SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {}) WHERE rank <= {}"
+
+
+@query(f"WITH {_PAIRS} {_TOP.format('p', 5)}")
+def dense_topk(spark, sf):
+    q, e = _vectors(spark, sf)
+    return _ranked(retrieval.dense_top_k(q, e, 5))
+
+
+@query(f"WITH {_PAIRS} {_TOP.format('(SELECT * FROM p WHERE label IN (1, 3) AND NOT label = 3)', 5)}")
+def dense_topk_filtered(spark, sf):
+    q, e = _vectors(spark, sf)
+    return _ranked(retrieval.dense_top_k(q, filters.apply(e, "label IN (1, 3) AND NOT label = 3"), 5))
+
+
+@query(f"WITH {_PAIRS} SELECT query_id, id, round(score, 6) AS score FROM p WHERE score >= 0.5")
+def similarity_threshold(spark, sf):
+    q, e = _vectors(spark, sf)
+    return retrieval.above(q, e, 0.5).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_PAIRS} SELECT CAST(label AS VARCHAR) AS corpus, count(*) AS candidates, count(*) FILTER (score >= 0.5) AS above FROM p GROUP BY label")
+def similarity_stats(spark, sf):
+    q, e = _vectors(spark, sf)
+    return retrieval.scored(q, e).groupBy(F.col("label").cast("string").alias("corpus")).agg(F.count("*").alias("candidates"), F.count_if(F.col("score") >= 0.5).alias("above"))
+
+
+@query(f"""WITH {_PAIRS}, a AS ({_TOP.format('p', 20)}), b AS ({_TOP.format('(SELECT * FROM p WHERE label = q_label)', 20)}),
+f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL)
+SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 5""")
+def rrf_fusion(spark, sf):
+    q, e = _vectors(spark, sf)
+    p = retrieval.scored(q, e)
+    return _ranked(retrieval.rrf([retrieval.top_k(p, 20), retrieval.top_k(p.where("label = q_label"), 20)], 60, 5))
+
+
+_QRELS = "qrels AS (SELECT query_id, id, 1 AS rel FROM p WHERE label = q_label AND id <> query_id)"
+_EVAL = f"""WITH {_PAIRS}, {_QRELS}, r AS ({_TOP.format('(SELECT * FROM p WHERE id <> query_id)', 10)}),
+n AS (SELECT query_id, count(*) AS n FROM qrels GROUP BY 1),
+h AS (SELECT query_id, count(*) AS found, min(rank) AS best, sum(1 / log2(rank + 1)) AS dcg FROM r JOIN qrels USING (query_id, id) GROUP BY 1),
+i AS (SELECT query_id, (SELECT sum(1 / log2(k + 1)) FROM range(1, least(10, n) + 1) t(k)) AS idcg FROM n),
+s AS (SELECT query_id, round(coalesce(found / n::DOUBLE, 0), 9) AS recall, round(coalesce(1.0::DOUBLE / best, 0), 9) AS mrr, round(coalesce(dcg / idcg, 0), 9) AS ndcg, best IS NOT NULL AS hit FROM n JOIN i USING (query_id) LEFT JOIN h USING (query_id))"""
+
+
+def _scores(spark, sf):
+    q, e = _vectors(spark, sf)
+    p = retrieval.scored(q, e).where("id <> query_id")
+    return evaluation.per_query(retrieval.top_k(p, 10), p.where("label = q_label").select("query_id", "id", F.lit(1).alias("rel")), 10)
+
+
+@query(f"{_EVAL} SELECT * FROM s")
+def eval_metrics(spark, sf):
+    return _scores(spark, sf)
+
+
+_MEANS = "count(*) AS n, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(avg(hit::INT), 6) AS hit_rate"
+
+
+@query(f"""{_EVAL}, x AS (SELECT s.*, e.label FROM s JOIN e ON e.vec_id = s.query_id)
+SELECT 'label' AS axis, CAST(label AS VARCHAR) AS bucket, {_MEANS} FROM x GROUP BY label UNION ALL SELECT 'hit', CAST(hit AS VARCHAR), {_MEANS} FROM x GROUP BY hit""")
+def bucket_metrics(spark, sf):
+    s = _scores(spark, sf).join(_t(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "label"), "query_id")
+    return evaluation.buckets(s, ["label", "hit"])
+
+
+# --- text search
+
+_TOKENS = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
+_BM25 = f"""q AS (SELECT item_id AS query_id, unnest(list_distinct({_TOKENS.format('text')})) AS term FROM benchmark WHERE item_id % 50 = 0),
+w AS (SELECT doc_id AS id, {_TOKENS.format('text')} AS t FROM documents), st AS (SELECT count(*) AS n_docs, avg(len(t)) AS avg_len FROM w),
+tf AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(t) AS len, unnest(t) AS term FROM w) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+sc AS (SELECT query_id, id, round(sum(ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len))), 9) AS score FROM q JOIN df USING (term) JOIN tf USING (term), st GROUP BY ALL)"""
+
+
+def _questions(spark, sf):
+    return _t(spark, sf, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "text"), _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+@query(f"WITH {_BM25} {_TOP.format('sc', 10)}")
+def bm25_topk(spark, sf):
+    return _ranked(retrieval.bm25(*_questions(spark, sf), 10))
+
+
+@query(f"""WITH {_BM25}, r AS ({_TOP.format('sc', 50)}), o AS (SELECT r.query_id, r.id, CAST(len(list_filter(list_filter(regexp_split_to_array(lower(b.text), '\\s+'), lambda x: x <> ''), lambda x: contains(lower(d.text), x))) AS DOUBLE) AS score FROM r JOIN documents d ON d.doc_id = r.id JOIN benchmark b ON b.item_id = r.query_id)
+{_TOP.format('o', 5)}""")
+def rerank_overlap(spark, sf):
+    q, d = _questions(spark, sf)
+    hits = retrieval.bm25(q, d, 50).join(d.withColumnRenamed("text", "body"), "id").join(q, "query_id")
+    return _ranked(retrieval.rerank(hits, retrieval.overlap("text", "body"), 5))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) <= 150 THEN text ELSE regexp_replace(text[:150], ' [^ ]*$', '') || '...' END AS snippet FROM documents")
+def snippets(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", retrieval.snippet("text", 150).alias("snippet"))
+
+
+# --- filters
+
+_FILTERS = {
+    "filter_eq": ("lang = en", "lang = 'en'"),
+    "filter_neq": ("quality != 1", "quality IS DISTINCT FROM 1"),
+    "filter_range": ("n_chars >= 1000 AND n_chars < 5000", "n_chars >= 1000 AND n_chars < 5000"),
+    "filter_in": ("source IN (src0, src1)", "source IN ('src0', 'src1')"),
+    "filter_not_in": ("toxic NOT IN (1, 7)", "(toxic IS NULL OR toxic NOT IN (1, 7))"),
+    "filter_bool": ("(lang = de OR quality = 0) AND NOT source = src0", "(coalesce(lang = 'de', false) OR coalesce(quality = 0, false)) AND NOT coalesce(source = 'src0', false)"),
+    "filter_kind": ('n_chars = "12" OR missing != 3 AND quality <= 0', "coalesce(quality <= 0, false)"),
+    "filter_legacy": ("lang=en,source=src1", "lang = 'en' AND source = 'src1'"),
+}
+for _name, (_dsl, _where) in _FILTERS.items():
+
+    def _run(spark, sf, dsl=_dsl):
+        labels = _t(spark, sf, "labels")
+        return filters.apply(_t(spark, sf, "documents").join(labels, "doc_id", "left"), dsl).select("doc_id", "lang", "source", "quality")
+
+    _run.__name__ = _name
+    query(f"SELECT doc_id, lang, source, quality FROM documents LEFT JOIN labels USING (doc_id) WHERE {_where}")(_run)
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, string_split(text, ' ')[1:20] AS tags FROM documents) WHERE list_contains(tags, 'the') AND list_contains(tags, 'of')")
+def filter_contains_all(spark, sf):
+    d = _t(spark, sf, "documents").select("doc_id", F.slice(F.split("text", " "), 1, 20).alias("tags"))
+    return filters.apply(d, 'tags CONTAINS the AND tags ALL ("the", "of")').select("doc_id")
+
+
+# --- time
+
+_EVENTS = "h AS (SELECT event_type AS query_id, event_id AS id, value AS score, CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(ts AS DATE) END AS d FROM events)"
+_FACTOR = "CASE WHEN d IS NULL THEN {prior} ELSE {floor} + (1 - {floor}) * exp(-ln(2) * greatest(date_diff('day', d, DATE '2024-02-01'), 0) / {half}) END"
+
+
+def _events(spark, sf):
+    return _t(spark, sf, "events").select(F.col("event_type").alias("query_id"), F.col("event_id").alias("id"), F.col("value").alias("score"), F.when(F.col("event_id") % 7 != 0, F.col("ts").cast("date")).alias("d"))
+
+
+@query(f"WITH {_EVENTS} SELECT query_id, id, round(score * ({_FACTOR.format(prior='1.0::DOUBLE', floor='0.6::DOUBLE', half='180::DOUBLE')}), 6) AS score FROM h")
+def decay_multiplicative(spark, sf):
+    return temporal.multiplicative(_events(spark, sf), F.col("d"), NOW, 180, 0.6).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_EVENTS}, m AS (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM h) SELECT query_id, id, round(0.7::DOUBLE * CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 0.5 END + 0.3::DOUBLE * ({_FACTOR.format(prior='0.5::DOUBLE', floor='0::DOUBLE', half='30::DOUBLE')}), 6) AS score FROM m")
+def decay_additive(spark, sf):
+    return temporal.additive(_events(spark, sf), F.col("d"), NOW, 30, 0.7).withColumn("score", F.round(F.col("score") + 0.0, 6)).select("query_id", "id", "score")
+
+
+@query("SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\\b(latest|newest|most recent|recent|recently|currently|current|up[- ]to[- ]date)\\b|\\b(today|yesterday|this (week|month|year)|last (week|month|year))\\b|\\b(past|last) \\d+ (days?|weeks?|months?|years?)\\b|\\b(since|after) (19|20)\\d\\d\\b|\\bnew (vulnerabilit|exploit|release|version)') OR regexp_matches(regexp_replace(lower(text), 'cve-[0-9]{4}-[0-9]+', ' ', 'g'), '\\b2026\\b') THEN 'medium' ELSE 'off' END AS policy FROM conversations")
+def temporal_policy(spark, sf):
+    return _t(spark, sf, "conversations").select("conv_id", "turn", temporal.policy(F.col("text")).alias("policy"))
+
+
+# --- documents
+
+_TRIM = "regexp_replace(regexp_replace({}, '^\\s+', ''), '\\s+$', '')"
+_ELEMENTS = f"""e0 AS (SELECT doc_id, pos - 1 AS pos, {_TRIM.format('parts[pos]')} AS text FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))),
+e AS (SELECT doc_id, pos, CASE WHEN strlen(text) <= 100 AND text = upper(text) AND regexp_matches(text, '[A-Z]') THEN 'title' WHEN strlen(text) <= 80 AND ends_with(text, ':') THEN 'heading' ELSE 'paragraph' END AS kind, text FROM e0 WHERE text <> ''),
+el AS (SELECT doc_id, pos, kind, CASE WHEN kind = 'heading' THEN 1 ELSE 0 END AS depth, text FROM e)"""
+
+
+def _elements(spark, sf):
+    return D.parse_text(_t(spark, sf, "documents"), "\n")
+
+
+@query(f"WITH {_ELEMENTS} SELECT doc_id, pos, kind, CAST(depth AS BIGINT) AS depth, text FROM el")
+def text_parse(spark, sf):
+    return _elements(spark, sf)
+
+
+@query(f"""WITH {_ELEMENTS}, hd AS (SELECT doc_id, pos, depth FROM el WHERE kind <> 'paragraph'),
+pa AS (SELECT el.doc_id, el.pos, max(hd.pos) AS up FROM el LEFT JOIN hd ON hd.doc_id = el.doc_id AND hd.pos < el.pos AND (el.kind = 'paragraph' OR hd.depth < el.depth) GROUP BY ALL),
+kids AS (SELECT doc_id, up, count(*) AS n FROM pa WHERE up IS NOT NULL GROUP BY ALL)
+SELECT pa.doc_id, 'el-' || pa.pos AS id, 'el-' || up AS parent_id, coalesce(n, 0) AS n_children FROM pa LEFT JOIN kids ON kids.doc_id = pa.doc_id AND kids.up = pa.pos""".replace("LEFT JOIN kids", "LEFT JOIN (SELECT doc_id, up AS at, n FROM kids) kids").replace("kids.up", "kids.at"))
+def hierarchy(spark, sf):
+    return D.hierarchy(_elements(spark, sf)).select("doc_id", "id", "parent_id", F.size("children").cast("long").alias("n_children"))
+
+
+_FOLD = """r AS (SELECT doc_id, ts, 1 AS i, ts[1] AS cur, strlen(ts[1]) AS n, 0 AS c FROM l UNION ALL
+SELECT doc_id, ts, i + 1, CASE WHEN n + strlen(ts[i + 1]) > 1000 THEN ts[i + 1] ELSE cur || chr(10) || ts[i + 1] END, CASE WHEN n + strlen(ts[i + 1]) > 1000 THEN strlen(ts[i + 1]) ELSE n + strlen(ts[i + 1]) END, CASE WHEN n + strlen(ts[i + 1]) > 1000 THEN c + 1 ELSE c END FROM r WHERE i < len(ts))"""
+
+
+@query(f"WITH RECURSIVE {_ELEMENTS}, l AS (SELECT doc_id, list(text ORDER BY pos) AS ts FROM el GROUP BY doc_id), {_FOLD} SELECT doc_id, CAST(c AS BIGINT) AS chunk_index, cur AS text, CAST(strlen(cur) AS BIGINT) AS char_count FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, c ORDER BY i DESC) AS k FROM r) WHERE k = 1")
+def chunk_basic(spark, sf):
+    return D.chunk_basic(_elements(spark, sf), 1000)
+
+
+@query()
+def chunk_overlap(spark, sf):
+    return D.chunk_basic(_elements(spark, sf), 1000, 100)
+
+
+@query()
+def chunk_by_title(spark, sf):
+    return D.chunk_by_title(_elements(spark, sf), 1000)
+
+
+@query(f"WITH {_ELEMENTS} SELECT doc_id, string_agg(CASE kind WHEN 'title' THEN '# ' || text WHEN 'heading' THEN repeat('#', CAST(depth + 1 AS INT)) || ' ' || text ELSE text END, chr(10) || chr(10) ORDER BY pos) AS markdown FROM el GROUP BY doc_id")
+def render_markdown(spark, sf):
+    return D.render_markdown(_elements(spark, sf))
+
+
+@query(f"WITH {_ELEMENTS}, g AS (SELECT *, CASE kind WHEN 'title' THEN 'h1' WHEN 'heading' THEN 'h' || (depth + 1) ELSE 'p' END AS t FROM el) SELECT doc_id, string_agg('<' || t || '>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</' || t || '>', chr(10) ORDER BY pos) AS html FROM g GROUP BY doc_id")
+def render_html(spark, sf):
+    return D.render_html(_elements(spark, sf))
+
+
+@query(f"WITH {_ELEMENTS} SELECT doc_id, string_agg(text, chr(10) ORDER BY pos) AS plain FROM el GROUP BY doc_id")
+def render_text(spark, sf):
+    return D.render_text(_elements(spark, sf))
+
+
+@query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^\\*\\* (REJECT|RESERVED|DISPUTED) \\*\\*.*$', '', 'g'), '(?m)^\\s*https?://\\S+\\s*$', '', 'g'), '(?m)^\\s*All rights reserved\\.?\\s*$', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g') AS text FROM documents")
+def hygiene_boilerplate(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", D.strip_boilerplate(F.col("text")).alias("text"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE source IS NULL OR source NOT IN ('src0', 'src3')")
+def hygiene_reject(spark, sf):
+    return D.reject(_t(spark, sf, "documents"), "source", ("src0", "src3")).select("doc_id", "lang")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN true END AS kev_flag FROM documents")
+def hygiene_kev_tag(spark, sf):
+    return D.tag_known(_t(spark, sf, "documents"), _t(spark, sf, "labels").where("toxic = 1"), "doc_id").select("doc_id", "kev_flag")
+
+
+# --- sources
+
+
+@query("SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages")
+def html_title(spark, sf):
+    return parsers.html_title(_t(spark, sf, "pages"))
+
+
+@query()
+def html_parse(spark, sf):
+    return parsers.parse_html(_t(spark, sf, "pages"))
+
+
+@query("SELECT p_partkey // 100 AS part, '| p_partkey | p_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || p_partkey || ' | ' || p_name || ' |', chr(10) ORDER BY p_partkey) AS markdown FROM part GROUP BY ALL")
+def csv_table_markdown(spark, sf):
+    return parsers.table_markdown(_t(spark, sf, "part"), ["p_partkey", "p_name"], "p_partkey")
+
+
+_ITEMS = "i AS (SELECT l_orderkey AS page, l_linenumber AS seq, l_quantity * 10 AS x, l_discount * 1000 AS y FROM lineitem)"
+
+
+@query(f"""WITH {_ITEMS}, xs AS (SELECT page, x, CASE WHEN x - lag(x) OVER (PARTITION BY page ORDER BY x) > 40 THEN 1 ELSE 0 END AS g FROM (SELECT DISTINCT page, x FROM i)), c AS (SELECT page, x, CAST(sum(g) OVER (PARTITION BY page ORDER BY x) AS BIGINT) AS column_no FROM xs)
+SELECT page, seq, column_no, row_number() OVER (PARTITION BY page ORDER BY column_no, y DESC, x, seq) AS reading_order FROM i JOIN c USING (page, x)""")
+def pdf_columns(spark, sf):
+    i = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("seq"), (F.col("l_quantity") * 10).alias("x"), (F.col("l_discount") * 1000).alias("y"))
+    return parsers.page_columns(i).select("page", "seq", "column_no", "reading_order")
+
+
+@query()
+def jsonl_infer(spark, sf):
+    return ingest.infer_fields(_t(spark, sf, "events"), "props")
+
+
+# --- ingest
+
+_SNAP = "a AS (SELECT doc_id AS external_id, text FROM documents WHERE doc_id % 10 <> 1), b AS (SELECT doc_id AS external_id, CASE WHEN doc_id % 10 = 2 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 3)"
+
+
+def _snapshots(spark, sf):
+    d = _t(spark, sf, "documents").select(F.col("doc_id").alias("external_id"), "text")
+    a = d.where("external_id % 10 <> 1").withColumn("hash", ingest.content_hash("text"))
+    b = d.where("external_id % 10 <> 3").withColumn("text", F.when(F.col("external_id") % 10 == 2, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).withColumn("hash", ingest.content_hash("text")).withColumn("line", F.col("external_id"))
+    return a, b
+
+
+@query(f"WITH {_SNAP} SELECT external_id, CASE WHEN a.text IS NULL THEN 'new' WHEN b.text IS NULL THEN 'kept' WHEN a.text = b.text THEN 'unchanged' ELSE 'changed' END AS action FROM a FULL JOIN b USING (external_id)")
+def upsert_plan(spark, sf):
+    return ingest.upsert_plan(*_snapshots(spark, sf))
+
+
+@query(f"WITH {_SNAP} SELECT external_id, sha256(text) AS hash FROM b UNION ALL SELECT external_id, sha256(text) FROM a WHERE external_id NOT IN (SELECT external_id FROM b)")
+def jsonl_ingest(spark, sf):
+    a, b = _snapshots(spark, sf)
+    return ingest.upsert(a.select("external_id", "hash"), b).select("external_id", "hash")
+
+
+@query(f"WITH {_SNAP} SELECT external_id, CASE WHEN a.text IS NULL THEN 'new' WHEN b.text IS NULL THEN 'deleted' WHEN strlen(a.text) = strlen(b.text) AND external_id % 10 <> 4 THEN 'unchanged' WHEN a.text = b.text THEN 'touched' ELSE 'changed' END AS state FROM a FULL JOIN b USING (external_id)")
+def incremental_plan(spark, sf):
+    row = lambda d, t: d.select(F.lit("r").alias("root"), F.col("external_id").alias("path"), F.octet_length("text").alias("size"), t.alias("mtime"), "hash")
+    a, b = _snapshots(spark, sf)
+    return ingest.incremental_plan(row(a, F.lit(0)), row(b, F.when(F.col("external_id") % 10 == 4, 1).otherwise(0))).select(F.col("path").alias("external_id"), "state")
+
+
+@query("SELECT doc_id AS external_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def delete_compact(spark, sf):
+    d = _t(spark, sf, "documents").select(F.col("doc_id").alias("external_id"))
+    return ingest.delete(d, _t(spark, sf, "labels").where("quality = 0").select(F.col("doc_id").alias("external_id")))
+
+
+@query("SELECT event_type AS variant, 'mean' AS metric, round(avg(value), 6) AS value, round(max(CASE WHEN event_id % 2 = 0 THEN value END), 6) AS base, round(avg(value), 6) < round(max(CASE WHEN event_id % 2 = 0 THEN value END), 6) * 0.98::DOUBLE AS regressed FROM events GROUP BY event_type")
+def baseline_diff(spark, sf):
+    e = _t(spark, sf, "events").groupBy(F.col("event_type").alias("variant"))
+    now = e.agg(F.round(F.avg("value"), 6).alias("value")).withColumn("metric", F.lit("mean"))
+    base = e.agg(F.round(F.max(F.when(F.col("event_id") % 2 == 0, F.col("value"))), 6).alias("value")).withColumn("metric", F.lit("mean"))
+    return evaluation.baseline_diff(now, base)
+
+
+# --- duplicates
+
+
+@query("SELECT sha256(text) AS content_hash, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY text HAVING count(*) > 1")
+def exact_dup(spark, sf):
+    return similarity.exact_duplicates(_t(spark, sf, "documents"))
+
+
+@query()
+def minhash_jaccard(spark, sf):
+    """Benchmark items divisible by 50 against all documents: estimated Jaccard similarity of at least 0.1."""
+    q = similarity.signatures(_t(spark, sf, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("query_id"), F.col("sig").alias("q"))
+    d = similarity.signatures(_t(spark, sf, "documents")).select("doc_id", "sig")
+    lanes = lambda x, i, s: x.select(i, F.posexplode(s).alias("lane", "h"))
+    same = lanes(q, "query_id", "q").join(lanes(d, "doc_id", "sig"), ["lane", "h"]).groupBy("query_id", "doc_id").agg((F.count("*") / similarity.LANES).alias("jaccard"))
+    return same.where("jaccard >= 0.1")
+
+
+# --- graphs
+
+_EDGES = "edges AS (SELECT 100 + n_nationkey AS child, CAST(n_regionkey AS BIGINT) AS parent FROM nation UNION SELECT 1000 + s_suppkey, 100 + s_nationkey FROM supplier)"
+
+
+def _edges(spark, sf):
+    n = _t(spark, sf, "nation").select((F.col("n_nationkey") + 100).cast("long").alias("child"), F.col("n_regionkey").cast("long").alias("parent"))
+    s = _t(spark, sf, "supplier").select((F.col("s_suppkey") + 1000).cast("long").alias("child"), (F.col("s_nationkey") + 100).cast("long").alias("parent"))
+    return n.unionByName(s)
+
+
+@query(f"WITH RECURSIVE {_EDGES}, c AS (SELECT DISTINCT CAST(n AS BIGINT) AS ancestor, CAST(n AS BIGINT) AS descendant FROM (SELECT child AS n FROM edges UNION SELECT parent FROM edges) UNION SELECT c.ancestor, CAST(e.child AS BIGINT) FROM c JOIN edges e ON e.parent = c.descendant) SELECT * FROM c")
+def taxonomy_closure(spark, sf):
+    return taxonomy.closure(_edges(spark, sf))
+
+
+@query(f"WITH {_EDGES} SELECT CAST(child AS BIGINT) AS node, CAST(parent AS BIGINT) AS ancestor, CAST(1 AS BIGINT) AS distance FROM edges WHERE child >= 1000 UNION ALL SELECT CAST(a.child AS BIGINT), CAST(b.parent AS BIGINT), 2 FROM edges a JOIN edges b ON a.parent = b.child WHERE a.child >= 1000")
+def taxonomy_ancestors(spark, sf):
+    e = _edges(spark, sf)
+    return taxonomy.ancestors(e, e.where("child >= 1000").select(F.col("child").alias("node")), 2)
+
+
+# --- statistics
+
+
+@query("SELECT 'n_chars' AS field, 'numeric' AS kind, count(DISTINCT n_chars) AS \"distinct\", CAST(min(n_chars) AS DOUBLE) AS low, CAST(max(n_chars) AS DOUBLE) AS high FROM documents UNION ALL SELECT 'lang', 'string', count(DISTINCT lang), NULL, NULL FROM documents UNION ALL SELECT 'source', 'string', count(DISTINCT source), NULL, NULL FROM documents")
+def field_stats(spark, sf):
+    return evaluation.field_stats(_t(spark, sf, "documents"), ["n_chars"], ["lang", "source"])
+
+
+@query("SELECT lang AS corpus, count(*) AS documents, CAST(sum(strlen(text)) AS BIGINT) AS bytes, count(DISTINCT source) AS sources FROM documents GROUP BY lang")
+def corpus_stats(spark, sf):
+    return _t(spark, sf, "documents").groupBy(F.col("lang").alias("corpus")).agg(F.count("*").alias("documents"), F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.count_distinct("source").alias("sources"))
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
+def latency_percentiles(spark, sf):
+    return _t(spark, sf, "events").groupBy("event_type").agg(*[F.round(F.percentile("value", q / 100), 6).alias(f"p{q}") for q in (50, 95, 99)], F.round(F.avg("value"), 6).alias("mean"))
