@@ -130,7 +130,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def induce(group: np.ndarray, lead: np.ndarray, strings: list[bytes], window: int = WINDOW) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Repeated windows of aligned strings: (row, first byte in the row) of each window equal to another of its group.
+    """Repeated windows of aligned strings: (row, first byte in the row) of each window that starts at or before the aligned place and equals another of its group.
 
     group: numbers in order; lead: the aligned place in each string. Suffixes are induced place by place from the right.
     """
