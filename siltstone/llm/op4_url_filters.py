@@ -49,10 +49,8 @@ def grams(host: str, path: str) -> list[int]:
     return [(((ord(s[i]) * 131 + ord(s[i + 1])) * 131 + ord(s[i + 2])) * 131 + ord(s[i + 3])) * 40503 % 1000003 % (1 << BITS) for i in range(len(s) - GRAM + 1)]
 
 
-@lru_cache(1)
-def weights() -> tuple[int, ...]:
+def fit(rows: list[tuple[str, str, int]]) -> tuple[int, ...]:
     """Millionths: the bias, then a weight for each bucket; full-batch gradient descent with L2 shrinkage."""
-    rows = labelled_urls()
     x, y = np.zeros((len(rows), 1 << BITS)), np.array([r[2] for r in rows], float)
     for i, (host, path, _) in enumerate(rows):
         for g in grams(host, path):
@@ -66,6 +64,11 @@ def weights() -> tuple[int, ...]:
     return tuple(int(v) for v in np.rint(np.concatenate([[b - MARGIN], w]) * SCALE))
 
 
+@lru_cache(1)
+def weights() -> tuple[int, ...]:
+    return fit(labelled_urls())
+
+
 def host_path(url: Column) -> tuple[Column, Column]:
     pattern = r"(?s)^.*?://([^/?#]*)([^?#]*)"
     part = lambda i: F.coalesce(F.regexp_extract(url, pattern, i), F.lit(""))

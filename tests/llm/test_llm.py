@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from siltstone.llm import common, op1_license_scan, op2_quality_classifier, op3_decontamination, op4_url_filters, op5_line_dedup, op6_lm_scoring, op7_suffix_dedup, op8_simhash, op9_quality_rules, op10_sentencepiece
 from siltstone.llm.queries import QUERIES, oracle_sql
@@ -148,6 +149,34 @@ def test_classifier_held_out(spark):
     assert np.mean([r.kept == (r.y == 1) for r in found]) > 0.95
 
 
+def test_fit_rows_are_the_smallest_hashes(spark):
+    df = spark.range(3000).selectExpr("id AS _id", "array(cast(id AS double)) AS x", "cast(id % 2 AS int) AS quality")
+    rule = f"pmod(xxhash64(_id), {op2_quality_classifier.HASHES})"
+    for most in (0, 1, 50, 2999, 5000):
+        want = [r.x for r in df.orderBy(F.expr(rule), "_id").limit(most).collect()]
+        assert [r.x for r in op2_quality_classifier._fit_rows(df, most)] == want
+
+
+def _url_hits(train, held):
+    w = op4_url_filters.fit(train)
+    say = lambda h, p: w[0] * len(g := op4_url_filters.grams(h, p)) + sum(w[b + 1] for b in g) * op4_url_filters.GRAIN > 0
+    return np.mean([say(h, p) == (y == 1) for h, p, y in held])
+
+
+def test_url_model_held_out_hosts(spark):
+    rows = op4_url_filters.labelled_urls()
+    got = [_url_hits([r for r in rows if not r[0].endswith(t)], [r for r in rows if r[0].endswith(t)]) for t in ("com", "net", "org")]
+    assert np.mean(got) > 0.9
+
+
+def test_url_scoring_uses_the_trained_grams(spark):
+    rows = [(i, f"http://{h}{p}") for i, (h, p, _) in enumerate(op4_url_filters.labelled_urls())] + [(900, "a://b"), (901, "x://"), (902, "s://été.fr/12/😀")]
+    w = op4_url_filters.weights()
+    for r in op4_url_filters.judge(spark.createDataFrame(rows, "page_id long, url string")).collect():
+        g = op4_url_filters.grams(r.host, r.path)
+        assert r.score == w[0] * len(g) + sum(w[b + 1] for b in g) * op4_url_filters.GRAIN
+
+
 def test_odd_inputs(spark, odd):
     bench = spark.createDataFrame([(1, "a rather long line that is here more than once"), (2, None), (None, "word word")], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
