@@ -24,6 +24,7 @@ from .op9_quality_rules import counts
 
 FIT_ROWS = 20_000
 KEEP_FROM = 0.5
+HASHES = 1 << 40
 #: SQL of each statistic over op9's counts.
 FEATURES = [f"coalesce(try_divide(cast({x} AS double), {y}), 0D)" for x, y in [("c_lower", "n_chars"), ("c_upper", "n_chars"), ("c_digit", "n_chars"), ("c_symbol", "n_chars"), ("c_punct", "n_chars"), ("c_other", "n_chars"), ("n_repeat_words", "n_words"), ("n_dup_lines", "n_words"), ("n_words - k_rest", "n_words")]] + ["least(coalesce(try_divide(cast(word_chars AS double), n_words), 0D), 30D)", "ln(1D + n_words)"]
 
@@ -63,11 +64,22 @@ def _strength(within: float, between: float) -> float:
     return min(1e4, max(1.0, within / between)) if between > 0 else 1e4
 
 
+def _fit_rows(marked: DataFrame, most: int) -> list:
+    """The `most` rows with the smallest hashed ids. They are thinned on the executors by a bound on the hash, so that all
+    tasks together send little more than `most` rows; the bound is doubled until enough lie below it."""
+    marked = marked.withColumn("_h", F.pmod(F.xxhash64("_id"), F.lit(HASHES)))
+    n = marked.count()
+    bound = HASHES if n <= most else int(HASHES * (most * 1.05 + 100) / n)
+    while bound < HASHES and marked.where(F.col("_h") < bound).count() < most:
+        bound *= 2
+    return marked.where(F.col("_h") < bound).orderBy("_h", "_id").limit(most).select("x", "quality").collect()
+
+
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", fit_rows: int = FIT_ROWS) -> DataFrame:
     """(doc_id, evidence, host_posterior, path_posterior, quality, kept)"""
     s = cut(statistics(docs, host, path))
     marked = labels.where("quality IS NOT NULL").select(F.col("doc_id").alias("_id"), "quality")
-    rows = s.join(marked, s.doc_id == marked["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(fit_rows).select("x", "quality").collect()
+    rows = _fit_rows(s.join(marked, s.doc_id == marked["_id"]).select("_id", "x", "quality"), fit_rows)
     w, b = fit(np.array([r.x for r in rows], float).reshape(len(rows), len(FEATURES)), np.array([r.quality for r in rows], float))
     logit = F.lit(b) + sum((F.element_at("x", i + 1) * float(v) for i, v in enumerate(w)), F.lit(0.0))
     d = s.withColumn("evidence", 1 / (1 + F.exp(-F.least(F.greatest(logit, F.lit(-30.0)), F.lit(30.0))))).select("doc_id", "host", "path", "evidence")
