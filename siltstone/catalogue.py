@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import filters, temporal
 from .operators import documents as D
 from .operators import evaluation, ingest, retrieval, similarity, taxonomy
-from .sources import parsers
+from .sources import formats, markdown, parsers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -279,6 +279,17 @@ def hygiene_kev_tag(spark, sf):
 # --- sources
 
 
+@query(f"""SELECT page_id, {formats.detect_sql("url", "html")} AS by_content, {formats.detect_sql("url || '.md'", "html")} AS by_name FROM pages""")
+def format_detect(spark, sf):
+    p = _t(spark, sf, "pages")
+    return p.select("page_id", formats.detect(p.url, p.html).alias("by_content"), formats.detect(F.concat(p.url, F.lit(".md")), p.html).alias("by_name"))
+
+
+@query()
+def markdown_parse(spark, sf):
+    return markdown.parse_markdown(_t(spark, sf, "documents"))
+
+
 @query("SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages")
 def html_title(spark, sf):
     return parsers.html_title(_t(spark, sf, "pages"))

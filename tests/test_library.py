@@ -8,7 +8,7 @@ from siltstone import catalogue
 from siltstone.functions import filters, temporal
 from siltstone.operators import documents as D
 from siltstone.operators import evaluation, ingest, retrieval, similarity, taxonomy
-from siltstone.sources import parsers
+from siltstone.sources import formats, markdown, parsers
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -85,3 +85,17 @@ def test_parsers(spark):
     assert [(r.kind, r.text) for r in parsers.parse_html(p).orderBy("pos").collect()] == [("title", "A"), ("paragraph", "b c"), ("table", "| x |\n| --- |\n| 1 |")]
     r = spark.createDataFrame([('{"a": "2024-01-01", "b": 1, "c": [1], "d": null, "e": true, "f": "x"}',)], "j string")
     assert {x.field: x.kind for x in ingest.infer_fields(r, "j").collect()} == {"a": "date", "b": "numeric", "c": "array", "e": "bool", "f": "string"}
+
+
+def test_formats(spark):
+    rows = [("a/b.PDF", "x", "pdf"), ("a.b/c", "", "unknown"), (".md", "", "unknown"), ("x", "%PDF-1", "pdf"), ("x", " <?xml v", "xml"), ("x", "\n<!DOCTYPE html>", "html"), ("f.json", '{"format": "NVD_CVE"}', "nvd_feed"), ("f.txt", '"vulnerabilities" "format"', "nvd_feed"), (None, None, "unknown"), ("m.mkd", "<html>", "markdown")]
+    got = spark.createDataFrame(rows, "path string, content string, want string").withColumn("got", formats.detect(F.col("path"), F.col("content"))).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_markdown(spark):
+    text = "---\ntitle: x\n---\n# A\n\nb\nc\n## D ##\n- e\n1. f\n> g\n> h\n\n***\n```py\ni # j\n```\n| k |\n| - |\n| l |\n~~~\nopen"
+    want = [("title", 0, "A", None), ("paragraph", 0, "b\nc", None), ("heading", 1, "D", None), ("list_item", 0, "e", None), ("list_item", 0, "f", None), ("quote", 0, "g\nh", None), ("horizontal_rule", 0, "", None), ("code", 0, "i # j", "py"), ("table", 0, "| k |\n| - |\n| l |", None), ("code", 0, "open", None)]
+    d = spark.createDataFrame([(1, text), (2, None), (3, " \n"), (None, "x")], "doc_id long, text string")
+    got = markdown.parse_markdown(d).orderBy("doc_id", "pos").collect()
+    assert [(r.kind, r.depth, r.text, r.language) for r in got if r.doc_id] == want and [r.text for r in got if r.doc_id is None] == ["x"]
