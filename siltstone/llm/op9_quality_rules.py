@@ -44,11 +44,12 @@ def _language() -> Column:
     return F.when(F.col("lang").isin(*COMMON), F.col("lang")).otherwise("other")
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """Integer counts per document: the base rules' and both histograms. No shuffle."""
+def counts(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """Integer counts per document: the base rules' and both histograms. No shuffle. With carry, a struct `_row` of docs' columns, too."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else []
     n_of = lambda c: F.char_length(c).cast("long")
     lists = "CASE language " + " ".join(f"WHEN '{k}' THEN array({', '.join(map(repr, v))})" for k, v in COMMON.items()) + f" ELSE array({', '.join(repr('') for _ in range(K))}) END"
-    a = docs.select("doc_id", _language().alias("language"), F.coalesce("text", F.lit("")).alias("text"))
+    a = docs.select("doc_id", _language().alias("language"), F.coalesce("text", F.lit("")).alias("text"), *row)
     a = a.withColumns({"w": F.expr(r"array_remove(split(text, '[\\x20\\x09-\\x0D]+'), '')"), "lines": F.expr(r"filter(split(text, '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')"), "r1": F.expr("regexp_replace(text, '[a-z]+', '')"), "common": F.expr(lists)})
     a = a.withColumns({"r2": F.expr("regexp_replace(r1, '[A-Z]+', '')"), "n": n_of("text"), "n1": n_of("r1"), "h": F.expr("CASE WHEN size(w) < 3 THEN array() ELSE transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])) END"), "w0": F.col("w")})
     for i in range(K):
@@ -63,7 +64,7 @@ def counts(docs: DataFrame) -> DataFrame:
         (F.col("n5") - n_of(F.expr("regexp_replace(r5, '[#*$%&|<>]', '')"))).alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.expr(_COVERED).alias("n_repeat_words"), F.col("n").alias("n_chars"),
         (F.col("n") - F.col("n1")).alias("c_lower"), (F.col("n1") - F.col("n2")).alias("c_upper"), (F.col("n2") - F.col("n3")).alias("c_digit"), (F.col("n3") - F.col("n4")).alias("c_space"), (F.col("n4") - F.col("n5")).alias("c_punct"), n_of("r6").alias("c_symbol"), (F.col("n5") - n_of("r6")).alias("c_other"),
-        *[(F.size(f"w{i}") - F.size(f"w{i + 1}")).cast("long").alias(f"k{i}") for i in range(K)], F.size(f"w{K}").cast("long").alias("k_rest"),
+        *[(F.size(f"w{i}") - F.size(f"w{i + 1}")).cast("long").alias(f"k{i}") for i in range(K)], F.size(f"w{K}").cast("long").alias("k_rest"), *(["_row"] if carry else []),
     )
 
 
@@ -83,15 +84,29 @@ DIVERGES = f"(CASE WHEN n_chars < {MIN_CHARS} THEN false ELSE {CHAR_JSD} > {MAX_
 def judge(docs: DataFrame) -> DataFrame:
     """counts() with the divergences and the verdict. The references are five rows at most, one a language, so they are broadcast."""
     c = cut(counts(docs))
-    ref = c.groupBy("language").agg(*[F.sum(x).alias("r_" + x) for x in [*CHARS, *WORDS, "n_chars", "n_words"]])
+    return _verdicts(c, references(c))
+
+
+def references(c: DataFrame) -> DataFrame:
+    """The summed histograms of each language of counts()."""
+    return c.groupBy("language").agg(*[F.sum(x).alias("r_" + x) for x in [*CHARS, *WORDS, "n_chars", "n_words"]])
+
+
+def _verdicts(c: DataFrame, ref: DataFrame) -> DataFrame:
     j = c.join(F.broadcast(ref), "language", "left")
     return j.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", F.expr(f"NOT base_failed AND NOT {DIVERGES}"))
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with all their columns. A document id that repeats is kept if each of its rows is kept."""
-    bad = judge(docs).where("NOT kept").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad["_bad"]), "left_anti")
+    """The documents that the rules keep, with all their columns; each row is judged by itself.
+
+    The texts are read twice and never shuffled: once for the references, once for the verdicts. Joining the verdicts to the
+    texts instead would shuffle all texts as soon as the rejected ids are too many to broadcast.
+    """
+    ref = cut(references(counts(docs)))
+    # greatest() keeps the optimizer from splitting the predicate and repeating the counts below the projections
+    fails = F.expr(f"greatest(cast(base_failed AS int), cast({DIVERGES} AS int))")
+    return _verdicts(counts(docs, carry=True), ref).where(fails == 0).select("_row.*")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

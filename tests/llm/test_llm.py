@@ -204,6 +204,14 @@ def test_odd_inputs(spark, odd):
     assert op4_url_filters.judge(pages.limit(0)).count() == 0
 
 
+def test_quality_filter_is_the_verdict(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("n_words", F.lit("x")).withColumn("kept", F.lit(0))
+    got = op9_quality_rules.filter_documents(docs)
+    assert got.columns == docs.columns and got.where("n_words = 'x' AND kept = 0").count() == got.count()
+    want = op9_quality_rules.judge(docs).where("kept")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in want.collect())
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
