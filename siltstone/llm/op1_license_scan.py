@@ -6,8 +6,11 @@ class), gives each family log-odds in whole millionths. Calibration: the tempera
 family needs a probability of at least CONFIDENCE, else the paragraph is unknown. A prediction is confirmed if the
 paragraph holds at least COVER percent of the n-grams of one of the family's templates.
 
-Every template holds one of the anchor words (a cover that is computed from the templates), so a paragraph without any can't
-be confirmed; it is passed over by plain substring tests before its n-grams are built. One projection, no shuffle.
+Every template holds one of the anchor words (a cover that is computed from the templates). That does not hold for every
+paragraph that covers COVER percent of a template, so the gate has more words: of each template so many that the n-grams
+without them are under COVER percent. A paragraph without any gate word can't be confirmed; it is passed over by plain
+substring tests before its n-grams are built. n_candidates counts the paragraphs with an anchor word only, so it can be less
+than the number of confirmed ones. One projection, no shuffle.
 
 Null or empty text: no paragraphs. Very long paragraphs: whole. Repeated rows: one row each. Empty table: empty result.
 Extra columns are not read.
@@ -39,6 +42,7 @@ TEMPLATES = {
 ORDINARY = ["the driver showed a license to the police officer", "she has a license to teach at the public school", "he was granted permission to enter the building", "the copyright of the song was sold last year", "they reserved all rooms in the hotel for the night", "human rights are reserved for everyone in the law", "the public library is free of charge for children", "the warranty covers repair of the machine", "the apache helicopter landed near the base", "a license plate was found in the forest", "the general spoke to the public about the version of events", "mit is a university in cambridge", "the software was released in spring", "a commons is land that is open to all", "the law was under attack and parts of it were removed", "the company sells the product under license in europe", "fishing without a permit is prohibited", "the terms of the contract were read aloud"]
 FAMILIES = [*TEMPLATES, "unknown"]
 CONFIDENCE, COVER, SCALE = 0.5, 60, 1_000_000
+COMMON = {"the", "and", "this", "under", "for", "any", "with", "you", "may", "not", "are", "all"}
 
 
 def grams(text: str) -> list[str]:
@@ -51,13 +55,25 @@ def anchors() -> tuple[str, ...]:
     """Words of which every template holds one: greedily the one that covers most, in order."""
     left, found = [set(re.split(r"[^0-9a-z]+", t)) for v in TEMPLATES.values() for t in v], []
     while left:
-        words = sorted({w for t in left for w in t if len(w) > 2 and w not in {"the", "and", "this", "under", "for", "any", "with", "you", "may", "not", "are", "all"}})
+        words = sorted({w for t in left for w in t if len(w) > 2 and w not in COMMON})
         best = max(words, key=lambda w: (sum(w in t for t in left), w))
         found.append(best)
         left = [t for t in left if best not in t]
     return tuple(found)
 
 
+@lru_cache(1)
+def gate() -> tuple[str, ...]:
+    """The anchors, and words until the n-grams of each template that hold none of them are under COVER percent of it."""
+    found, every = list(anchors()), [g for ts in _cover().values() for g in ts]
+    rest = lambda g: [q for q in g if not set(q.split()) & set(found)]
+    while left := [g for g in every if 100 * len(rest(g)) >= COVER * len(g)]:
+        words = sorted({w for g in left for q in rest(g) for w in q.split()})
+        gain = {w: sum(sum(w in q.split() for q in rest(g)) / len(g) for g in left) for w in words}
+        found.append(max(words, key=lambda w: (len(w) > 2 and w not in COMMON, gain[w], w)))
+    return tuple(found)
+
+
 @lru_cache(1)
 def model() -> tuple[tuple[str, ...], np.ndarray]:
     """(n-grams, whole-millionth weights by family with the bias as the last row), the temperature folded in."""
@@ -99,13 +115,13 @@ def _cover() -> dict[str, list[list[str]]]:
 
 
 def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs' columns with n_paragraphs and `licences`: an array of (place, family, confirmed) of the paragraphs that hold an anchor word."""
+    """docs' columns with n_paragraphs, n_candidates and `licences`: an array of (place, family, confirmed) of the paragraphs that hold a gate word."""
     vocabulary, w = model()
     quote = lambda s: "'" + s + "'"
     known = "array(" + ", ".join(map(quote, vocabulary)) + ")"
     weights = "array(" + ", ".join("array(" + ", ".join(f"{v}L" for v in row) + ")" for row in w[:-1]) + ")"
     bias = w[-1]
-    gate = " OR ".join(f"x.low LIKE '%{a}%'" for a in anchors())
+    holds = lambda x, words: " OR ".join(f"{x} LIKE '%{a}%'" for a in words)
     words = "array_remove(split(x.low, '[^0-9a-z]+'), '')"
     gram = "array_distinct(concat(z, CASE WHEN size(z) < 2 THEN array() ELSE transform(sequence(0, size(z) - 2), i -> concat(z[i], ' ', z[i + 1])) END))"
     one = lambda v, inner, name: f"element_at(transform(array({v}), {name} -> {inner}), 1)"
@@ -114,7 +130,8 @@ def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
     confirmed = "CASE " + " ".join(f"WHEN best = {k + 1} THEN " + " OR ".join(f"100 * size(array_intersect(g, array({', '.join(map(quote, t))}))) >= {COVER * len(t)}" for t in cover[f]) for k, f in enumerate(FAMILIES[:-1])) + " ELSE false END"
     d = docs.withColumns({"_p": F.split(ascii_lower(F.coalesce(F.col(text), F.lit(""))), "\n")})
     d = d.withColumn("n_paragraphs", F.expr(r"size(filter(_p, x -> x rlike '[^\\x20\\x09-\\x0D]'))").cast("long"))
-    d = d.withColumn("_l", F.expr(f"filter(transform(_p, (x, i) -> struct(x AS low, i AS place)), x -> {gate})"))
+    d = d.withColumn("_l", F.expr(f"filter(transform(_p, (x, i) -> struct(x AS low, i AS place)), x -> {holds('x.low', gate())})"))
+    d = d.withColumn("n_candidates", F.expr(f"size(filter(_l, x -> {holds('x.low', anchors())}))").cast("long"))
     d = d.withColumn("_g", F.expr(f"transform(_l, x -> struct(x.place AS place, {one(words, gram, 'z')} AS g))"))
     d = d.withColumns({"_known": F.when(F.size("_g") > 0, F.expr(known)), "_w": F.when(F.size("_g") > 0, F.expr(weights))})
     d = d.withColumn("_f", F.expr("transform(_g, x -> struct(x.place AS place, x.g AS g, transform(array_intersect(x.g, _known), q -> int(array_position(_known, q))) AS f))"))
@@ -128,7 +145,7 @@ def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = paragraphs(table(spark, sf_dir, "documents").select("doc_id", "text"))
     sure = F.expr("filter(licences, x -> x.confirmed)")
-    return d.select("doc_id", "n_paragraphs", F.size("licences").cast("long").alias("n_candidates"), F.size(sure).cast("long").alias("n_licences"), F.array_join(F.array_sort(F.array_distinct(sure["family"])), ",").alias("licences"))
+    return d.select("doc_id", "n_paragraphs", "n_candidates", F.size(sure).cast("long").alias("n_licences"), F.array_join(F.array_sort(F.array_distinct(sure["family"])), ",").alias("licences"))
 
 
 def sql() -> str:

@@ -142,6 +142,18 @@ def test_language_model_prefers_order(spark):
     assert op6_lm_scoring.step(n, padded, place, None).sum() > before
 
 
+def test_licences_without_an_anchor_word(spark):
+    """Every paragraph is held against every template; none is lost to the gate."""
+    lines = ["Permission is hereby granted, free of charge, to any person obtaining a copy", "this dataset is dedicated to the public domain", "a plain line", "in the public domain"]
+    d = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    r = op1_license_scan.paragraphs(d).first()
+    assert [(x.place, x.family) for x in r.licences if x.confirmed] == [(0, "mit"), (1, "public-domain")] and r.n_candidates == 0
+    for ts in op1_license_scan._cover().values():
+        for g in ts:
+            without = [q for q in g if not set(q.split()) & set(op1_license_scan.gate())]
+            assert 100 * len(without) < op1_license_scan.COVER * len(g)
+
+
 def test_classifier_held_out(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
