@@ -48,6 +48,12 @@ def test_filter_semantics(spark):
     assert filters.expand(filters.parse("cwe = CWE-79"), "cwe", {79: [79, 80]}) == filters.Compare("cwe", "IN", (79.0, 80.0))
 
 
+def test_filter_contains_all_reads_whole_texts(spark, tmp_path):
+    late = "x " * 30 + "the end of it"
+    spark.createDataFrame([(1, late), (2, "of the"), (3, "x " * 30 + "the end"), (4, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.doc_id for r in catalogue.QUERIES["filter_contains_all"](spark, str(tmp_path)).collect()) == [1, 2]
+
+
 def test_chunk_overlap_keeps_characters_whole(spark):
     e = spark.createDataFrame([(1, 0, "paragraph", "aé"), (1, 1, "paragraph", "bbbb"), (1, 2, "paragraph", "c")], "doc_id long, pos long, kind string, text string")
     assert [r.text for r in D.chunk_basic(e, 4, 1).orderBy("chunk_index").collect()] == ["aé", "ébbbb", "bc"]
