@@ -1,10 +1,14 @@
 """Document scores by masked pseudo-likelihood.
 
 Every token is predicted from the SPAN tokens on either side of it by a small window network, and a document's score is
-the sum of the log-probabilities. The vocabulary is the most frequent words, counted over all documents, and buckets for the
-others. The output is a two-level softmax (32 classes of 32 tokens), so a prediction costs 64 outputs, not 1024. The network
-is trained in numpy over all documents: each partition makes one pass from the same start (biases from the counts), the
-averaged network, weighted by tokens, is what scores. Average and vocabulary have a fixed size, so only they are sent out.
+the sum of the log-probabilities. The network's tokens are the most frequent words, counted over all documents, and buckets
+for the others. The output is a two-level softmax (32 classes of 32 tokens), so a prediction costs 64 outputs, not 1024. The
+network is trained in numpy over all documents: each partition makes one pass from the same start (biases from the counts), the
+averaged network, weighted by tokens, is what scores.
+
+A word in a bucket has the bucket's probability times its share of the bucket's count over all documents. Every word that
+occurs RARE times or more has its own share; the rarer ones of a bucket, and one unseen word, divide theirs evenly, so the
+probabilities of all words have the sum 1. The network has a fixed size; the table of shares grows with the corpus.
 
 Words: lower-cased A-Z, digits, and any byte from 0x80. Null, empty or wordless text: no tokens, score 0, mean null.
 Repeated rows: one row each. Very long texts: whole. Empty table: empty result. Extra columns are not read.
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, cut, table
 from .op3_decontamination import _LOW, words_of
 
 SPAN, DIM, SIDE = 2, 16, 32
@@ -29,6 +33,7 @@ BATCH, RATE, SHARD_BYTES = 4096, 0.15, 2_000_000
 SHAPES = {"e": (2 * SPAN, VOCABULARY, DIM), "b": (DIM,), "c": (DIM, SIDE), "cb": (SIDE,), "w": (SIDE, DIM, SIDE), "wb": (SIDE, SIDE)}
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 BLOCK = 4096
+RARE = 20
 
 
 def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -51,21 +56,29 @@ def start(counts: np.ndarray) -> np.ndarray:
     return flat
 
 
-def tokens(texts: list[str], hashes: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(padded tokens, places of the words, words of each text); documents lie SPAN outside tokens apart."""
+def bucket_of(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(40)).astype(np.int64) % BUCKETS
+
+
+def tokens(texts: list[str], hashes: np.ndarray, number: np.ndarray, share: np.ndarray | None = None, rare: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """(padded tokens, places of the words, words of each text, logs of the words' shares in their tokens); documents lie SPAN outside tokens apart."""
     low = [t.encode().translate(_LOW) for t in texts]
     s, _, h = words_of(b"\n".join(low))
     offsets = np.cumsum([0, *[len(b) + 1 for b in low]])
     doc = np.searchsorted(offsets, s, "right") - 1
-    ids = 1 + WORDS + (h >> np.uint64(40)).astype(np.int64) % BUCKETS
+    bucket = bucket_of(h)
+    ids, own = 1 + WORDS + bucket, None if rare is None else rare[bucket]
     if len(hashes):
         at = np.searchsorted(hashes, h)
         at[at == len(hashes)] = 0
-        ids = np.where(hashes[at] == h, number[at], ids)
+        found = hashes[at] == h
+        ids = np.where(found, number[at], ids)
+        if own is not None:
+            own = np.where(found, share[at], own)
     place = np.arange(len(s)) + SPAN * (doc + 1)
     padded = np.zeros(len(s) + SPAN * (len(texts) + 1), np.int64)
     padded[place] = ids
-    return padded, place, np.bincount(doc, minlength=len(texts))
+    return padded, place, np.bincount(doc, minlength=len(texts)), own
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -130,15 +143,55 @@ def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str]
         done, at = sizes[stop - 1], stop
 
 
-def vocabulary(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """The most frequent words over all documents, and the count of each token; both of a fixed size."""
-    words = docs.select(F.explode(F.split(ascii_lower(F.col("text")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
-    top = words.orderBy(F.desc("n"), "w").limit(WORDS).collect()
-    total = sum(r.n for r in top)
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(w, n): every word of all documents."""
+    words = docs.select(F.explode(F.split(ascii_lower(F.col("text")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")).alias("w")).where("w <> ''")
+    return cut(words.groupBy("w").agg(F.count("*").alias("n")))
+
+
+def _hashed(counted: DataFrame, words: list[str]) -> DataFrame:
+    """(bucket, h, n) of the counted words other than `words`."""
+    top = _lookup(words)[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = words_of("\n".join(b.column(0).to_pylist()).encode())[2]
+            other = ~np.isin(h, top)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(h)[other], pa.int64()), pa.array(h.view(np.int64)[other], pa.int64()), b.column(1).filter(pa.array(other))], names=["bucket", "h", "n"])
+
+    return counted.select("w", "n").mapInArrow(run, "bucket long, h long, n long")
+
+
+def bucket_counts(counted: DataFrame, words: list[str]) -> np.ndarray:
+    """By bucket: the count of its words, of those below RARE, and how many words are below it."""
+    rare = F.col("n") < RARE
+    out = np.zeros((BUCKETS, 3))
+    for r in _hashed(counted, words).groupBy("bucket").agg(F.sum("n").alias("a"), F.sum(F.when(rare, F.col("n")).otherwise(0)).alias("b"), F.count_if(rare).alias("c")).collect():
+        out[r.bucket] = r.a, r.b, r.c
+    return out
+
+
+def _vocabulary(counted: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    top = counted.orderBy(F.desc("n"), "w").limit(WORDS).collect()
+    words = [r.w for r in top]
+    buckets = bucket_counts(counted, words)
     counts = np.zeros(VOCABULARY)
     counts[1 : 1 + len(top)] = [r.n for r in top]
-    counts[1 + WORDS :] = 0.5 * total / BUCKETS
-    return [r.w for r in top], counts
+    counts[1 + WORDS :] = buckets[:, 0]
+    return words, counts, buckets
+
+
+def vocabulary(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+    """The most frequent words over all documents, and the count of each token; both of a fixed size."""
+    return _vocabulary(word_counts(docs))[:2]
+
+
+def shares(counted: DataFrame, words: list[str], buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, logs of the shares) of the words that occur RARE times or more, without `words`; by bucket, the log of the share of any other word."""
+    t = _hashed(counted.where(F.col("n") >= RARE), words).toArrow()
+    h = t.column("h").to_numpy().view(np.uint64)
+    share = np.log(t.column("n").to_numpy() / (buckets[bucket_of(h), 0] + 1))
+    return h, share.astype(np.float32), np.log((buckets[:, 1] + 1) / ((buckets[:, 2] + 1) * (buckets[:, 0] + 1))).astype(np.float32)
 
 
 def train(docs: DataFrame, words: list[str], counts: np.ndarray) -> np.ndarray:
@@ -154,7 +207,7 @@ def train(docs: DataFrame, words: list[str], counts: np.ndarray) -> np.ndarray:
         net = unpack(flat)
         for batch in batches:
             for _, texts in _slices(batch, 0):
-                padded, place, _ = tokens(texts, hashes, number)
+                padded, place, _, _ = tokens(texts, hashes, number)
                 for k in range(0, len(place), BATCH):
                     step(net, padded, place[k : k + BATCH], RATE / (1 + seen / 4e6))
                     seen += len(place[k : k + BATCH])
@@ -187,18 +240,27 @@ def _texts(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*keep, t.alias("t"), F.octet_length(t).alias("b"))
 
 
-def score(docs: DataFrame, words: list[str], network: np.ndarray, doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_tokens, log_prob, mean_log_prob)"""
-    sent = docs.sparkSession.sparkContext.broadcast((*_lookup(words), network))
+def score(docs: DataFrame, words: list[str], network: np.ndarray, doc_id: str = "doc_id", share: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """(doc_id, n_tokens, log_prob, mean_log_prob); without `share`, what shares() returns, a word counts as its bucket."""
+    hashes, number = _lookup(words)
+    own, rare = np.zeros(len(hashes), np.float32), None
+    if share is not None:
+        more, logs, rare = share
+        order = np.argsort(all_ := np.concatenate([hashes, more]))
+        hashes, number, own = all_[order], np.concatenate([number, 1 + WORDS + bucket_of(more)])[order], np.concatenate([own, logs])[order]
+    sent = docs.sparkSession.sparkContext.broadcast((hashes, number.astype(np.int16), own, rare, network))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, number, flat = sent.value
+        hashes, number, own, rare, flat = sent.value
         net = unpack(flat)
         for batch in batches:
             counts, sums = [], []
             for _, texts in _slices(batch, 1):
-                padded, place, n = tokens(texts, hashes, number)
-                logp = np.concatenate([np.zeros(1), *[step(net, padded, place[k : k + BATCH], None) for k in range(0, len(place), BATCH)]]).cumsum()
+                padded, place, n, in_token = tokens(texts, hashes, number, own, rare)
+                logp = np.concatenate([np.zeros(1), *[step(net, padded, place[k : k + BATCH], None) for k in range(0, len(place), BATCH)]])
+                if in_token is not None:
+                    logp[1:] += in_token
+                logp = logp.cumsum()
                 ends = np.cumsum(n)
                 counts += n.tolist()
                 sums += (logp[ends] - logp[ends - n]).tolist()
@@ -210,8 +272,9 @@ def score(docs: DataFrame, words: list[str], network: np.ndarray, doc_id: str =
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
-    words, counts = vocabulary(docs)
-    return score(docs, words, train(docs, words, counts))
+    counted = word_counts(docs)
+    words, counts, buckets = _vocabulary(counted)
+    return score(docs, words, train(docs, words, counts), share=shares(counted, words, buckets))
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

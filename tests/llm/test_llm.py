@@ -142,6 +142,29 @@ def test_language_model_prefers_order(spark):
     assert op6_lm_scoring.step(n, padded, place, None).sum() > before
 
 
+def test_language_model_words_of_a_bucket(spark, monkeypatch):
+    """Buckets have their true counts, and the shares of a bucket's words and one unseen word have the sum 1."""
+    monkeypatch.setattr(op6_lm_scoring, "RARE", 2)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    count = collections.Counter(w for _, t in texts(spark) for w in re.findall(rb"[0-9a-z\x80-\xff]+", t.encode().lower()))
+    counted = op6_lm_scoring.word_counts(docs)
+    words, counts, buckets = op6_lm_scoring._vocabulary(counted)
+    assert counts.sum() == sum(count.values())
+    h, logs, rare = op6_lm_scoring.shares(counted, words, buckets)
+    assert len(h) == sum(n >= 2 for n in count.values()) - sum(count[w.encode()] >= 2 for w in words)
+    own = dict(zip(h.tolist(), logs.tolist()))
+    total = np.exp(rare.astype(float))
+    for w in count.keys() - {w.encode() for w in words}:
+        x = op6_lm_scoring.words_of(w)[2]
+        k = int(op6_lm_scoring.bucket_of(x)[0])
+        total[k] += np.exp(own.get(int(x[0]), rare[k]))
+    assert len(h) and np.allclose(total, 1, atol=1e-4)
+    flat = op6_lm_scoring.start(counts)
+    with_share = {r.doc_id: r for r in op6_lm_scoring.score(docs, words, flat, share=(h, logs, rare)).collect()}
+    assert all(r.log_prob >= with_share[r.doc_id].log_prob for r in op6_lm_scoring.score(docs, words, flat).collect())
+    assert sum(r.n_tokens for r in with_share.values()) == sum(count.values())
+
+
 def test_licences_without_an_anchor_word(spark):
     """Every paragraph is held against every template; none is lost to the gate."""
     lines = ["Permission is hereby granted, free of charge, to any person obtaining a copy", "this dataset is dedicated to the public domain", "a plain line", "in the public domain"]
