@@ -166,15 +166,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return found.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+def _keep_rows(docs: DataFrame) -> DataFrame:
+    """One row of each component, where ids are repeated or null: rows are told apart by id and text, rows with an id come first."""
+    d = docs.withColumn("_k", F.xxhash64(F.coalesce("text", F.lit(""))))
+    found = cut(fingerprints(d, "text", "_k").distinct())
+    fps = cut(found.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    of = found.join(fps, "fp").join(components(links(fps)), "node", "left").select(F.col("doc_id").alias("_k"), F.coalesce("root", "node").alias("_root"))
+    first = d.select("doc_id", "_k").join(of, "_k").groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_k")).alias("x"))
+    first = first.select(F.col("x.doc_id").alias("_id"), F.col("x._k").alias("_of"))
+    kept = d.join(first, d["_k"].eqNullSafe(first["_of"]) & d["doc_id"].eqNullSafe(first["_id"]), "left_semi")
+    return kept.dropDuplicates(["_k"]).select(*docs.columns)
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with all its columns. Documents without an id all stay."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs.doc_id == gone["_gone"], "left_anti")
-    many = left.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL")
-    if not many.limit(1).count():
-        return left
-    one = left.join(many.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(many.select("doc_id"), "doc_id", "left_anti").unionByName(one)
+    """One row of each component, the one with the smallest doc_id (a null one last), with all its columns."""
+    if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count():
+        return _keep_rows(docs)
+    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, docs.doc_id == gone["_gone"], "left_anti")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,6 +95,15 @@ def test_simhash(spark, monkeypatch, bucket):
     assert got == {d: (f"{int(x):016x}", int(c)) for (d, _), x, c in zip(docs, f, label)}
 
 
+def test_keep_one_decides_by_row(spark):
+    """A copy of one of an id's texts takes only that row; null ids are held against each other and against rows with an id."""
+    a, b, c, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abce")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, e), (None, c), (None, "u " + b[::-1]), (None, "u " + b[::-1])]
+    kept = op8_simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert got == sorted([(1, a), (2, b), (3, c), (3, e), (None, "u " + b[::-1])], key=repr)
+
+
 def test_components_chain(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)]
     got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
