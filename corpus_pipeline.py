@@ -31,7 +31,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op10_sentencepiece.encode_decode(docs, op10_sentencepiece.model_file()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return op10_sentencepiece.encode_decode(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("tokenization", tokenization)]
