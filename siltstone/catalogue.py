@@ -171,7 +171,7 @@ for _name, (_dsl, _where) in _FILTERS.items():
     query(f"SELECT doc_id, lang, source, quality FROM documents LEFT JOIN labels USING (doc_id) WHERE {_where}")(_run)
 
 
-@query("SELECT doc_id FROM (SELECT doc_id, string_split(text, ' ')[1:20] AS tags FROM documents) WHERE list_contains(tags, 'the') AND list_contains(tags, 'of')")
+@query("SELECT doc_id FROM (SELECT doc_id, string_split(text, ' ') AS tags FROM documents) WHERE list_contains(tags, 'the') AND list_contains(tags, 'of')")
 def filter_contains_all(spark, sf):
     d = _t(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("tags"))
     return filters.apply(d, 'tags CONTAINS the AND tags ALL ("the", "of")').select("doc_id")

@@ -1,4 +1,9 @@
 import datetime
+import os
+import pathlib
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -105,3 +110,17 @@ def test_markdown(spark):
     d = spark.createDataFrame([(1, text), (2, None), (3, " \n"), (None, "x")], "doc_id long, text string")
     got = markdown.parse_markdown(d).orderBy("doc_id", "pos").collect()
     assert [(r.kind, r.depth, r.text, r.language) for r in got if r.doc_id] == want and [r.text for r in got if r.doc_id is None] == ["x"]
+
+
+def test_entry_without_the_training_data_folders(tmp_path):
+    """The entry lists the library's queries from a copy without the llm folder, with and without the pipeline file."""
+    root = pathlib.Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "siltstone", tmp_path / "siltstone", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    if (root / "corpus_pipeline.py").exists():
+        shutil.copy(root / "corpus_pipeline.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q, set(e.oracle_sql()) <= set(q))"
+    for _ in range(2):
+        got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
+        assert got.stdout.split() == [str(len(catalogue.QUERIES)), "False", "True"]
+        (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
