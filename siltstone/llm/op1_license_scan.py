@@ -150,7 +150,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sql() -> str:
     vocabulary, w = model()
-    gate = " OR ".join(f"contains(low, '{a}')" for a in anchors())
+    anchor = " OR ".join(f"contains(low, '{a}')" for a in anchors())
     rows = ", ".join(f"('{g}', {[int(v) for v in row]})" for g, row in zip(vocabulary, w[:-1]))
     marks = ", ".join(f"('{f}', {t}, {k * 100 + i})" for k, (f, ts) in enumerate(_cover().items()) for i, t in enumerate(ts))
     n = len(FAMILIES)
@@ -158,12 +158,12 @@ def sql() -> str:
     return f"""
 WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)) AS p FROM documents),
 l AS (SELECT row_no, place, p[place] AS low FROM (SELECT row_no, p, unnest(range(1, len(p) + 1)) AS place FROM d)),
-g AS (SELECT row_no, place, list_distinct(list_concat(z, list_transform(range(1, greatest(1, len(z))), lambda i: z[i] || ' ' || z[i + 1]))) AS g FROM (SELECT row_no, place, list_filter(regexp_split_to_array(low, '[^0-9a-z]+'), lambda x: x <> '') AS z FROM l WHERE {gate})),
+g AS (SELECT row_no, place, list_distinct(list_concat(z, list_transform(range(1, greatest(1, len(z))), lambda i: z[i] || ' ' || z[i + 1]))) AS g FROM (SELECT row_no, place, list_filter(regexp_split_to_array(low, '[^0-9a-z]+'), lambda x: x <> '') AS z FROM l )),
 v(g, w) AS (VALUES {rows}),
 t(family, g, no) AS (VALUES {marks}),
 s AS (SELECT row_no, place, [{sums}] AS s FROM (SELECT row_no, place, unnest(g) AS q FROM g UNION ALL SELECT row_no, place, NULL FROM g) LEFT JOIN v ON v.g = q GROUP BY row_no, place),
 b AS (SELECT row_no, place, {FAMILIES}[list_position(s, list_max(s))] AS family, 1 / list_sum(list_transform(s, lambda x: exp((x - list_max(s)) / {SCALE}e0))) AS p FROM s),
 c AS (SELECT b.row_no, b.place, b.family FROM b JOIN g USING (row_no, place) WHERE p >= {CONFIDENCE} AND EXISTS (SELECT 1 FROM t WHERE t.family = b.family AND 100 * len(list_intersect(g.g, t.g)) >= {COVER} * len(t.g))),
 a AS (SELECT row_no, count(*) AS n, string_agg(DISTINCT family, ',' ORDER BY family) AS families FROM c GROUP BY row_no),
-k AS (SELECT row_no, count(*) AS n FROM g GROUP BY row_no)
+k AS (SELECT row_no, count(*) AS n FROM l WHERE {anchor} GROUP BY row_no)
 SELECT doc_id, CAST(len(list_filter(p, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) AS BIGINT) AS n_paragraphs, CAST(coalesce(k.n, 0) AS BIGINT) AS n_candidates, CAST(coalesce(a.n, 0) AS BIGINT) AS n_licences, coalesce(families, '') AS licences FROM d LEFT JOIN a USING (row_no) LEFT JOIN k USING (row_no)"""

@@ -4,8 +4,8 @@ Documents are cut into shards of a few megabytes within their partition (a docum
 A shard's words become numbers of the benchmark's vocabulary, and the suffixes that begin with a benchmark word are sorted:
 by their first words at once, and by the words behind them in the ranges that a benchmark suffix reaches. Every suffix of
 every benchmark item is then searched by bisection, block of words by block of words, which gives the range (all
-locations) of its window and its longest verbatim match. Words are matched by 64-bit hashes and each word that is hit is
-compared letter by letter.
+locations) of its window and its longest verbatim match. Words are matched by 64-bit hashes (benchmark words that share one are
+told apart by their letters) and each word that is hit is compared letter by letter.
 
 The benchmark travels to the executors in blocks of a fixed size, one in a worker's memory at a time, so it may be larger
 than that size. Null or empty text: no words, not contaminated. Null or empty item: no window. An item without an id
@@ -70,9 +70,10 @@ class Block:
         hashes = words_of(joined)[2]
         order = np.argsort(hashes)
         self.hashes, self.words = hashes[order], [vocabulary[i] for i in order]
-        if len(np.unique(self.hashes)) < len(self.hashes):
-            raise ValueError("two benchmark words share a hash")
         number = {w: i + 1 for i, w in enumerate(self.words)}
+        # words that share a hash are told apart by their letters
+        shared = np.unique(self.hashes[1:][self.hashes[1:] == self.hashes[:-1]])
+        self.shared = {int(h): {self.words[i]: i + 1 for i in np.flatnonzero(self.hashes == h).tolist()} for h in shared}
         self.items, self.window = [i for i, _ in items], window
         bits = max(1, int(len(self.words)).bit_length())
         self.bits, self.per = bits, max(1, min(16, 63 // bits))
@@ -106,6 +107,9 @@ def _scan(block: Block, start, end, hashes, doc_of, low: bytes):
     at = np.searchsorted(block.hashes, hashes)
     at[at == len(block.hashes)] = 0
     ids = np.where(block.hashes[at] == hashes, at + 1, 0)
+    if block.shared:
+        for i in np.flatnonzero(np.isin(hashes, np.array(list(block.shared), np.uint64))).tolist():
+            ids[i] = block.shared[int(hashes[i])].get(low[start[i] : end[i]], 0)
     ids = np.concatenate([ids, np.zeros(block.per, np.int64)])
     # a document's last word is followed by another document's first: keep them apart by a gap
     gap = np.flatnonzero(np.diff(doc_of)) + 1

@@ -215,16 +215,16 @@ def train(docs: DataFrame, words: list[str], counts: np.ndarray) -> np.ndarray:
             blocks = [flat[k : k + BLOCK].tolist() for k in range(0, SIZE, BLOCK)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([seen] * len(blocks), pa.int64()), pa.array(blocks, pa.list_(pa.float32()))], names=["block", "n", "v"])
 
-    def mean(key, t):
-        n = t.column("n").to_numpy().astype(float)
-        v = np.stack([np.asarray(x, np.float64) for x in t.column("v").to_pylist()])
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([(n @ v / n.sum()).astype(np.float32)], pa.list_(pa.float32()))})
-
     parts = _texts(docs).select("t", "b").mapInArrow(run, "block int, n long, v array<float>")
-    rows = parts.groupBy("block").applyInArrow(mean, "block int, v array<float>").collect()
-    if not rows:
+    # a grouped sum a weight: no task holds the networks of all partitions
+    each = parts.select("block", "n", F.posexplode("v").alias("i", "x"))
+    mean = each.groupBy("block", "i").agg((F.sum(F.col("x").cast("double") * F.col("n")) / F.sum("n")).cast("float").alias("x"))
+    found = mean.toArrow()  # SIZE rows
+    if not found.num_rows:
         return first
-    return np.concatenate([np.array(r.v, np.float32) for r in sorted(rows, key=lambda r: r.block)])
+    out = np.empty(SIZE, np.float32)
+    out[found.column("block").to_numpy().astype(np.int64) * BLOCK + found.column("i").to_numpy()] = found.column("x").to_numpy()
+    return out
 
 
 def _lookup(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

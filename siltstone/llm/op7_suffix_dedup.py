@@ -9,7 +9,8 @@ Sorting: the suffixes of a group's segments are induced from right to left. The
 behind it, stably dealt by the byte before, and the common prefix of two neighbours is one more than the least common
 prefix between them one place on. The tuples (group, byte, rank, common prefix) of many groups are carried together.
 Groups reach the task through Spark's external sort, which spills to disk, and a batch of groups is all that is held.
-A group above GROUP segments is not gathered: its windows are counted by hash over the whole cluster.
+A group above GROUP segments is not gathered: its windows are counted by their digests (128 bits of BLAKE2) over the whole
+cluster. Segments are told apart by anchor and digest (64 bits each).
 
 Null text: empty. Texts shorter than the window: nothing removed. Matches never cross documents. Repeated rows: each is
 the other's copy. Rows with the same id and text give the same result. Empty table: empty result. Extra columns are not
@@ -26,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, drop, table
 
 WINDOW, GRAM = 200, 32
 GROUP = 20_000
 SHARD_BYTES = 3_000_000
 ROWS = 20_000  # segments sorted together
-_PLACE = np.uint64((1 << 28) - 1)
+_PLACE = np.uint64((1 << 31) - 1)  # no text is longer
 _M = 0x9E3779B97F4A7C15
 _P = 0xD6E8FEB86659FD93
 _INV = pow(_P, -1, 1 << 64)
@@ -53,7 +54,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def segment(texts: list[bytes]):
-    """Segments of some documents: document, first window, windows, anchor's place (in the document), anchor, content hash."""
+    """Segments of some documents: document, first window, windows, anchor's place (in the document), anchor."""
     cat = np.frombuffer(b"".join(texts), np.uint8)
     lens = np.array([len(t) for t in texts], np.int64)
     base = np.cumsum(lens) - lens
@@ -84,9 +85,12 @@ def segment(texts: list[bytes]):
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, total))
     begin, place, of = at[first], a[first], doc[first]
-    end = begin + count - 1 + WINDOW
-    content = _mix((sums[end] - sums[begin]) * down[begin] + (place - begin).astype(np.uint64) * np.uint64(_M) + _mix(count.astype(np.uint64)))
-    return of, begin - base[of], count, place - base[of], gram[place].view(np.int64), content.view(np.int64)
+    return of, begin - base[of], count, place - base[of], gram[place].view(np.int64)
+
+
+def digest(content: bytes) -> int:
+    """Of a segment's bytes: unlike the rolling hash that finds anchors, not one that two texts can be made to share."""
+    return int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little", signed=True)
 
 
 def _parts(batch: pa.RecordBatch, column: int):
@@ -104,9 +108,11 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at, texts in _parts(b, 2):
             if (s := segment(texts)) is not None:
-                of, begin, count, place, anchor, content = s
+                of, begin, count, place, anchor = s
                 take = pa.array(of + at)
                 idx = np.arange(len(of)) - np.searchsorted(of, of)
+                ends = begin + count - 1 + WINDOW
+                content = np.frombuffer(b"".join([hashlib.blake2b(texts[d][a:e], digest_size=8).digest() for d, a, e in zip(of.tolist(), begin.tolist(), ends.tolist())]), "<i8")
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(idx.astype(np.int32)), pa.array(anchor), pa.array(content)], names=["doc_id", "th", "idx", "anchor", "sh"])
 
 
@@ -117,13 +123,14 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, texts in _parts(b, 1):
             if (s := segment(texts)) is None:
                 continue
-            of, begin, count, place, anchor, content = s
+            of, begin, count, place, anchor = s
             firsts = np.searchsorted(of, np.arange(len(texts)))
             out = []
             for i, t in enumerate(texts):
                 for x in needs[at + i]:
                     j = int(firsts[i]) + x["idx"]
-                    out.append((int(anchor[j]), int(content[j]), int(place[j] - begin[j]), t[int(begin[j]) : int(begin[j] + count[j]) - 1 + WINDOW], x["n"], x["hot"]))
+                    content = t[int(begin[j]) : int(begin[j] + count[j]) - 1 + WINDOW]
+                    out.append((int(anchor[j]), digest(content), int(place[j] - begin[j]), content, x["n"], x["hot"]))
             for k in range(0, len(out), 20_000):
                 cols = list(zip(*out[k : k + 20_000]))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.bool_())], names=["anchor", "sh", "lead", "bytes", "n", "hot"])
@@ -213,23 +220,17 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments of hot anchors -> a row a window: (anchor, sh, off, wh, n)."""
+    """Segments of hot anchors -> a row a window: (anchor, sh, off, wh, n), wh being a 128-bit digest of the window."""
     for b in batches:
         for r in range(0, b.num_rows, 500):
             part = b.slice(r, 500)
             anchor, sh, n = (part.column(i).to_numpy() for i in (0, 1, 4))
             strings = part.column(3).to_pylist()
-            lens = np.array([len(s) for s in strings])
-            cat = np.frombuffer(b"".join(strings), np.uint8)
-            up, down = _power(len(cat) + 1)
-            sums = np.zeros(len(cat) + 1, np.uint64)
-            np.cumsum((cat.astype(np.uint64) + np.uint64(1)) * np.uint64(_M) * up[:-1], out=sums[1:])
-            w = lens - WINDOW + 1
+            w = np.array([len(s) for s in strings]) - WINDOW + 1
             row = np.repeat(np.arange(len(strings)), w)
             off = np.arange(len(row)) - np.repeat(np.cumsum(w) - w, w)
-            at = off + (np.cumsum(lens) - lens)[row]
-            wh = _mix((sums[at + WINDOW] - sums[at]) * down[at]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[row]), pa.array(sh[row]), pa.array(off.astype(np.int32)), pa.array(wh), pa.array(n[row])], names=["anchor", "sh", "off", "wh", "n"])
+            wh = [hashlib.blake2b(s[k : k + WINDOW], digest_size=16).digest() for s in strings for k in range(len(s) - WINDOW + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[row]), pa.array(sh[row]), pa.array(off.astype(np.int32)), pa.array(wh, pa.binary()), pa.array(n[row])], names=["anchor", "sh", "off", "wh", "n"])
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,11 +288,13 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     plain = fetched.where("NOT hot").drop("hot").repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_groups, "anchor long, sh long, offs array<int>")
     marks = plain
     if fetched.where("hot").limit(1).count():
-        w = fetched.where("hot").drop("hot").mapInArrow(_windows, "anchor long, sh long, off int, wh long, n long")
+        w = fetched.where("hot").drop("hot").mapInArrow(_windows, "anchor long, sh long, off int, wh binary, n long")
         twice = w.groupBy("anchor", "wh").agg(F.sum("n").alias("c")).where("c > 1").drop("c")
         marks = marks.unionByName(w.where("n = 1").join(twice, ["anchor", "wh"], "left_semi").groupBy("anchor", "sh").agg(F.collect_list("off").alias("offs")))
     whole = distinct.where("n > 1").select("anchor", "sh", F.lit(True).alias("whole"), F.array().cast("array<int>").alias("offs"))
-    marks = whole.unionByName(marks.select("anchor", "sh", F.lit(False).alias("whole"), "offs"))
+    marks = cut(whole.unionByName(marks.select("anchor", "sh", F.lit(False).alias("whole"), "offs")))
+    drop(fetched)
+    drop(distinct)
     of = rows.join(marks, ["anchor", "sh"]).groupBy("doc_id", "th").agg(F.collect_list(F.struct("idx", "whole", "offs")).alias("marks"))
     of = of.select(F.col("doc_id").alias("i"), F.col("th").alias("t"), "marks")
     done = d.join(of, d.doc_id.eqNullSafe(of.i) & (d.th == of.t), "left").select("doc_id", "marks", "bytes")

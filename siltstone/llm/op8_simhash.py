@@ -10,8 +10,8 @@ bucket can hold more than a few thousand distinct fingerprints, however skewed t
 (distances to PIVOTS reference fingerprints) discards every pair that differs by more than 3 in some coordinate; the
 survivors are verified by their exact distance. A bucket returns a spanning forest of its links, never all pairs.
 
-Null, empty or blank text: fingerprint zero, linked like any other. A null doc_id gets the component of its fingerprint's
-documents that have an id, else null. Repeated rows: a row each. Empty table: empty result. Extra columns are not read.
+Null, empty or blank text: fingerprint zero, linked like any other. A null doc_id gets the smallest id of its
+component, null if no row there has one. Repeated rows: a row each. Empty table: empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -142,10 +142,9 @@ def links(fps: DataFrame) -> DataFrame:
         hot = sizes.where(F.col("n") > BUCKET)
         if not hot.limit(1).count():
             break
-        finer = F.lit(None)
-        for x in masks:
-            finer = F.when(F.col("m") == _signed(x), F.array(*[F.lit(_signed(y)) for y in submasks(x)])).otherwise(finer)
-        rows = deal(rows.join(hot, ["m", "v"], "left_semi").select("fp", "node", finer.alias("f")), F.col("f"))
+        # four rows a mask, 16,384 at the last split
+        finer = F.broadcast(spark.createDataFrame([(_signed(x), [_signed(y) for y in submasks(x)]) for x in masks], "m long, f array<long>"))
+        rows = deal(rows.join(hot, ["m", "v"], "left_semi").join(finer, "m").select("fp", "node", "f"), F.col("f"))
         masks = sorted({y for x in masks for y in submasks(x)})
     else:
         parts.append(rows.join(sizes, ["m", "v"], "left_semi"))
@@ -158,32 +157,37 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links."""
+    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links; ids of any ordered type."""
     found = cut(fingerprints(docs, text, doc_id))
-    fps = cut(found.groupBy("fp").agg(F.min("doc_id").cast("long").alias("node")))
-    roots = components(links(fps.where("node IS NOT NULL")))
-    of = fps.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    fps = cut(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = components(links(fps.select("fp", F.col("fp").alias("node"))))
+    linked = cut(fps.join(roots, fps.fp == roots.node).select("fp", "root", "first"))
+    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    of = fps.join(linked.join(least, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     return found.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
 def _keep_rows(docs: DataFrame) -> DataFrame:
     """One row of each component, where ids are repeated or null: rows are told apart by id and text, rows with an id come first."""
-    d = docs.withColumn("_k", F.xxhash64(F.coalesce("text", F.lit(""))))
+    # a row is told apart by its text's digest: two 64-bit hashes
+    text = F.coalesce("text", F.lit(""))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text", F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b")).alias("_k"))
     found = cut(fingerprints(d, "text", "_k").distinct())
-    fps = cut(found.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    of = found.join(fps, "fp").join(components(links(fps)), "node", "left").select(F.col("doc_id").alias("_k"), F.coalesce("root", "node").alias("_root"))
+    roots = components(links(found.select("fp", F.col("fp").alias("node")).distinct()))
+    of = found.join(roots, found.fp == roots.node, "left").select(F.col("doc_id").alias("_k"), F.coalesce("root", "fp").alias("_root"))
     first = d.select("doc_id", "_k").join(of, "_k").groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_k")).alias("x"))
     first = first.select(F.col("x.doc_id").alias("_id"), F.col("x._k").alias("_of"))
     kept = d.join(first, d["_k"].eqNullSafe(first["_of"]) & d["doc_id"].eqNullSafe(first["_id"]), "left_semi")
-    return kept.dropDuplicates(["_k"]).select(*docs.columns)
+    return kept.dropDuplicates(["_k"]).select("_row.*")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component, the one with the smallest doc_id (a null one last), with all its columns."""
     if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count():
         return _keep_rows(docs)
-    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs.doc_id == gone["_gone"], "left_anti")
+    gone = near_duplicates(docs.select("doc_id", "text")).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"))
+    return rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
