@@ -1,17 +1,19 @@
 """Documents through five stages: quality rules, line dedup, near-dedup, benchmark decontamination, tokenization.
 
-Each stage takes (spark, docs, sf_dir) and gets the rows that the stage before it wrote. Nulls, empty tables, repeated rows
-and extra columns: as each operator states.
+Each stage takes (spark, docs, sf_dir) and gets the rows that the stage before it wrote.
+
+Null, empty or blank text: rejected by the quality rules, as are all texts of under 50 words. Null doc_id: a document like any
+other, but of near copies one with an id stays. Repeated rows and ids: each row is judged by itself; equal texts are near
+copies of which one row stays. Very long texts: whole. Empty tables: no rows. Extra columns, whatever their names, pass
+through all stages but the last.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import op3_decontamination, op5_line_dedup, op8_simhash, op9_quality_rules, op10_sentencepiece
-from siltstone.llm.common import shared_dir, table
+from siltstone.llm.common import remove, scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,10 +43,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. Each stage's rows are written as Parquet to the shared folder and read again."""
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The last stage's rows. Each stage's rows are written as Parquet to the shared folder and read again; they are removed once the next stage is written, the last stage's when the driver ends."""
+    base, before = scratch(spark), None
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if before:
+            remove(spark, f"{base}/{before}")
+        before = name
     return docs
