@@ -1,8 +1,10 @@
 """URL filters: host and path rules, and a logistic regression on hashed character n-grams of host and path.
 
-The model is trained on the driver from the small labelled table below (a few hundred URLs, made by rule) and its weights
-are whole numbers (millionths), so that every engine sums to the same score. Scoring is one projection of built-in
-functions: no shuffle, no Python. Rules come first (the longest that fits), the model judges what no rule fits.
+The model is trained on the driver from the small labelled table below (URLs made by rule from words that name kinds of
+unwanted and of ordinary sites, on usual top-level names, with paths of both kinds and neutral ones). Its features are the
+counts of the n-grams, unscaled, so that what is fitted is what is scored; its weights are rounded to whole millionths, so
+that every engine sums to the same score. Scoring is one projection of built-in functions: no shuffle, no Python. Rules come
+first (the longest that fits), the model judges what no rule fits.
 
 Null url or one without `://`: empty host and path, no rule; the model allows what has no n-gram. Very long urls: whole.
 Repeated rows: one row each. Empty table: empty result. Extra columns are not read.
@@ -20,24 +22,29 @@ from .common import LOWER, UPPER, table
 
 # The rules of the contract.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-# The labelled table's parts: words of unwanted and of wanted sites.
-BAD = ["casino", "poker", "bets", "betting", "slots", "jackpot", "lottery", "winbig", "prize", "pills", "pharma", "viagra", "cheap", "replica", "adult", "adults", "xxx", "porn", "camgirls", "escort", "ads", "adserver", "tracker", "track", "banner", "clicks", "popunder", "spam", "spammy", "linkfarm", "farm", "free", "warez", "torrent", "cracked", "payday", "loans"]
-GOOD = ["news", "science", "library", "university", "history", "garden", "recipes", "weather", "museum", "travel", "health", "music", "theatre", "docs", "research", "school", "journal", "archive", "forum", "wiki", "mathematics", "education", "nation", "station", "ethics", "north", "southern", "brother", "reading", "cooking", "stonework", "the", "her", "honest", "table", "shed", "winter", "hand", "thread", "then", "other", "motion"]
+# The labelled table's parts: words that name unwanted and ordinary sites, top-level names, and paths by kind.
+BAD = ["casino", "poker", "blackjack", "roulette", "betting", "wager", "slots", "jackpot", "lottery", "sweepstakes", "giveaway", "pills", "viagra", "cialis", "steroids", "weightloss", "replica", "knockoff", "adult", "xxx", "porn", "webcam", "escort", "dating", "hookup", "adserver", "tracker", "popunder", "clickbait", "spam", "linkfarm", "warez", "torrent", "cracked", "keygen", "serials", "payday", "loans", "forex", "crypto"]
+GOOD = ["news", "gazette", "tribune", "herald", "library", "archive", "museum", "gallery", "university", "college", "academy", "institute", "journal", "research", "physics", "biology", "history", "geography", "encyclopedia", "dictionary", "recipes", "garden", "weather", "travel", "railway", "hospital", "clinic", "council", "parliament", "ministry", "theatre", "orchestra", "football", "cycling", "docs", "manual", "forum", "software", "bakery", "carpentry"]
+TOPS = ["com", "net", "org", "info", "co.uk", "de", "fr", "es"]
+BAD_PATHS = ["/bonus/free-spins", "/win/now", "/buy-cheap/{}", "/click/out/{}", "/promo/{}.php", "/best-price/order"]
+GOOD_PATHS = ["/articles/{}", "/docs/guide.html", "/about/contact", "/{}/chapter-2.html", "/index.html", "/archive/{}/issue"]
+NEUTRAL_PATHS = ["/", "/{}", "/en/{}", "/de/{}", "/fr/{}.html", "/es/{}/"]
 BITS, GRAM = 12, 4
 SCALE = 1_000_000
 #: Log-odds that the model must be sure by before it blocks.
 MARGIN = 0.5
-#: The model sees rows of length one; a typical url has about this many n-grams, so b + w.x / sqrt(n) > 0 is judged as b * n + w.x * GRAIN > 0.
-GRAIN = 6
 
 
 def labelled_urls() -> list[tuple[str, str, int]]:
-    """(host, path, unwanted): each word on two hosts of each kind of top-level name, with language paths as they occur."""
+    """(host, path, unwanted): each word on four hosts, alone and beside another word of its kind, half of them with neutral paths."""
     rows = []
-    for words, y in ((BAD, 1), (GOOD, 0)):
+    for words, paths, y in ((BAD, BAD_PATHS, 1), (GOOD, GOOD_PATHS, 0)):
         for i, w in enumerate(words):
-            for k, top in enumerate(("example.com", "example.net", "example.org")):
-                rows.append((("", "www.", "blog.", "m.")[(i + k) % 4] + w + "." + top, f"/{('en', 'de', 'fr', 'es')[(i + k) % 4]}/{(i * 7919 + k * 104729) % 99991}" + ("", "/", ".html")[k], y))
+            for k in range(4):
+                n = i * 4 + k
+                host = (w, "www." + w, w + "-" + words[(i * 7 + 3) % len(words)], "my" + w)[k] + "." + TOPS[n % len(TOPS)]
+                path = (paths if k % 2 else NEUTRAL_PATHS)[n * 5 % 6].format(n * 7919 % 99991)
+                rows.append((host, path, y))
     return rows
 
 
@@ -50,18 +57,22 @@ def grams(host: str, path: str) -> list[int]:
 
 
 def fit(rows: list[tuple[str, str, int]]) -> tuple[int, ...]:
-    """Millionths: the bias, then a weight for each bucket; full-batch gradient descent with L2 shrinkage."""
-    x, y = np.zeros((len(rows), 1 << BITS)), np.array([r[2] for r in rows], float)
-    for i, (host, path, _) in enumerate(rows):
-        for g in grams(host, path):
-            x[i, g] += 1
-    x /= np.sqrt(np.maximum(1, (x * x).sum(1, keepdims=True)))
-    w, b = np.zeros(x.shape[1]), 0.0
-    for _ in range(600):
+    """Millionths: the bias, then a weight for each bucket; full-batch gradient descent on n-gram counts with L2 shrinkage."""
+    found = [grams(h, p) for h, p, _ in rows]
+    used = sorted({g for f in found for g in f})
+    number, y = {g: i for i, g in enumerate(used)}, np.array([r[2] for r in rows], float)
+    x = np.zeros((len(rows), len(used)))
+    for i, f in enumerate(found):
+        for g in f:
+            x[i, number[g]] += 1
+    w, b = np.zeros(len(used)), 0.0
+    for _ in range(500):
         p = 1 / (1 + np.exp(-(x @ w + b)))
-        w -= 2.0 * (x.T @ (p - y) / len(y) + 2e-4 * w)
-        b -= 2.0 * (p - y).mean()
-    return tuple(int(v) for v in np.rint(np.concatenate([[b - MARGIN], w]) * SCALE))
+        w -= 0.2 * (x.T @ (p - y) / len(y) + 1e-3 * w)
+        b -= 0.2 * (p - y).mean()
+    out = np.zeros(1 + (1 << BITS))
+    out[0], out[1 + np.array(used, np.int64)] = b - MARGIN, w
+    return tuple(int(v) for v in np.rint(out * SCALE))
 
 
 @lru_cache(1)
@@ -93,7 +104,7 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     df = df.withColumn("_c", F.transform(F.split(masked, ""), lambda c: F.ascii(c).cast("long")))
     df = df.withColumn("_g", F.when(F.char_length(masked) < GRAM, F.array().cast("array<int>")).otherwise(F.expr(f"transform(sequence(0, size(_c) - {GRAM}), i -> cast((((_c[i] * 131 + _c[i + 1]) * 131 + _c[i + 2]) * 131 + _c[i + 3]) * 40503 % 1000003 % {1 << BITS} AS int))")))
     literal = "array(" + ", ".join(f"{v}L" for v in w[1:]) + ")"
-    df = df.withColumn("score", F.expr(f"{w[0]}L * size(_g) + aggregate(_g, 0L, (s, g) -> s + {literal}[g]) * {GRAIN}L"))
+    df = df.withColumn("score", F.expr(f"if(size(_g) = 0, 0L, {w[0]}L + aggregate(_g, 0L, (s, g) -> s + {literal}[g]))"))
     rule, verdict = rule_column(F.col("host"), F.col("path"), rules)
     return df.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, F.when(F.col("score") > 0, "block").otherwise("allow"))).drop("_c", "_g")
 
@@ -116,5 +127,5 @@ WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '{pattern}', 1
 s AS (SELECT *, CASE WHEN host = '' AND path = '' THEN '' ELSE '^' || host || regexp_replace(path, '[0-9]', '0', 'g') || '$' END AS s FROM u),
 weights AS (SELECT {list(w[1:])} AS w),
 g AS (SELECT *, list_transform(range(1, greatest(1, length(s) - {GRAM} + 2)), lambda i: {bucket}) AS g FROM s),
-z AS (SELECT g.*, {w[0]} * len(g) + coalesce(list_sum(list_transform(g, lambda b: w[b + 1])), 0) * {GRAIN} AS score FROM g, weights)
+z AS (SELECT g.*, CASE WHEN len(g) = 0 THEN 0 ELSE {w[0]} + list_sum(list_transform(g, lambda b: w[b + 1])) END AS score FROM g, weights)
 SELECT page_id, host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN score > 0 THEN 'block' ELSE 'allow' END) AS verdict FROM z"""
