@@ -7,13 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import filters, temporal
+from .functions import filters, language, temporal
+from .operators import chunking, evaluation, hygiene, ingest, rendering, retrieval, similarity, taxonomy
 from .operators import documents as D
-from .operators import evaluation, ingest, retrieval, similarity, taxonomy
-from .sources import formats, markdown, parsers
+from .sources import formats, markdown, pages, parsers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -77,7 +77,10 @@ def similarity_threshold(spark, sf):
 @query(f"WITH {_PAIRS} SELECT CAST(label AS VARCHAR) AS corpus, count(*) AS candidates, count(*) FILTER (score >= 0.5) AS above FROM p GROUP BY label")
 def similarity_stats(spark, sf):
     q, e = _vectors(spark, sf)
-    return retrieval.scored(q, e).groupBy(F.col("label").cast("string").alias("corpus")).agg(F.count("*").alias("candidates"), F.count_if(F.col("score") >= 0.5).alias("above"))
+    n = q.count()
+    seen = e.groupBy("label").agg((F.count("*") * n).alias("candidates"))
+    near = retrieval.scored(q, e, threshold=0.5).groupBy("label").agg(F.count("*").alias("above"))
+    return seen.join(near, "label", "left").select(F.col("label").cast("string").alias("corpus"), "candidates", F.coalesce("above", F.lit(0)).alias("above"))
 
 
 @query(f"""WITH {_PAIRS}, a AS ({_TOP.format('p', 20)}), b AS ({_TOP.format('(SELECT * FROM p WHERE label = q_label)', 20)}),
@@ -85,8 +88,7 @@ f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FR
 SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 5""")
 def rrf_fusion(spark, sf):
     q, e = _vectors(spark, sf)
-    p = retrieval.scored(q, e)
-    return _ranked(retrieval.rrf([retrieval.top_k(p, 20), retrieval.top_k(p.where("label = q_label"), 20)], 60, 5))
+    return _ranked(retrieval.rrf([retrieval.dense_top_k(q, e, 20), retrieval.dense_top_k(q, e, 20, same=("q_label", "label"))], 60, 5))
 
 
 _QRELS = "qrels AS (SELECT query_id, id, 1 AS rel FROM p WHERE label = q_label AND id <> query_id)"
@@ -99,8 +101,8 @@ s AS (SELECT query_id, round(coalesce(found / n::DOUBLE, 0), 9) AS recall, round
 
 def _scores(spark, sf):
     q, e = _vectors(spark, sf)
-    p = retrieval.scored(q, e).where("id <> query_id")
-    return evaluation.per_query(retrieval.top_k(p, 10), p.where("label = q_label").select("query_id", "id", F.lit(1).alias("rel")), 10)
+    relevant = q.select("query_id", "q_label").join(e.select("id", "label"), F.col("label") == F.col("q_label")).where("id <> query_id")
+    return evaluation.per_query(retrieval.dense_top_k(q, e, 10, differ=("query_id", "id")), relevant.select("query_id", "id", F.lit(1).alias("rel")), 10)
 
 
 @query(f"{_EVAL} SELECT * FROM s")
@@ -197,11 +199,27 @@ def decay_additive(spark, sf):
     return temporal.additive(_events(spark, sf), F.col("d"), NOW, 30, 0.7).withColumn("score", F.round(F.col("score") + 0.0, 6)).select("query_id", "id", "score")
 
 
-@query("SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\\b(latest|newest|most recent|recent|recently|currently|current|up[- ]to[- ]date)\\b|\\b(today|yesterday|this (week|month|year)|last (week|month|year))\\b|\\b(past|last) \\d+ (days?|weeks?|months?|years?)\\b|\\b(since|after) (19|20)\\d\\d\\b|\\bnew (vulnerabilit|exploit|release|version)') OR regexp_matches(regexp_replace(lower(text), 'cve-[0-9]{4}-[0-9]+', ' ', 'g'), '\\b2026\\b') THEN 'medium' ELSE 'off' END AS policy FROM conversations")
+_SEEKS = " OR ".join([*(f"regexp_matches(text, '{p}')" for p in temporal.RECENT), f"regexp_matches(regexp_replace(text, '{temporal.CVE_ID}', '___', 'g'), '{temporal.RECENT_YEAR}')"])
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN {_SEEKS} THEN 'medium' ELSE 'off' END AS policy FROM conversations")
 def temporal_policy(spark, sf):
     return _t(spark, sf, "conversations").select("conv_id", "turn", temporal.policy(F.col("text")).alias("policy"))
 
 
+_LADDER = " ".join(f"WHEN '{k}' THEN score * ({_FACTOR.format(prior='1.0::DOUBLE', floor=f'{f}::DOUBLE', half=f'{h}::DOUBLE')})" for k, (h, f) in temporal.LADDER.items())
+
+
+@query(f"WITH {_EVENTS}, p AS (SELECT *, CASE id % 5 WHEN 0 THEN 'light' WHEN 1 THEN 'strong' WHEN 2 THEN 'medium' WHEN 3 THEN CASE WHEN query_id = 'click' THEN 'medium' ELSE 'off' END ELSE 'off' END AS policy FROM h) SELECT query_id, id, round(CASE policy {_LADDER} ELSE score END, 6) AS score FROM p")
+def decay_by_policy(spark, sf):
+    """Each row's own setting; auto is resolved by the query's intent."""
+    e = _events(spark, sf)
+    five = F.expr("element_at(array('light', 'strong', 'medium', 'auto', 'off'), cast(id % 5 AS int) + 1)")
+    intent = F.when(F.col("query_id") == "click", "recency_seeking").otherwise("neutral")
+    e = e.withColumn("policy", temporal.resolved(five, temporal.oracle_policy(intent)))
+    return temporal.by_policy(e, F.col("d"), NOW).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
 # --- documents
 
 _TRIM = "regexp_replace(regexp_replace({}, '^\\s+', ''), '\\s+$', '')"
@@ -221,49 +239,198 @@ def text_parse(spark, sf):
 
 @query(f"""WITH {_ELEMENTS}, hd AS (SELECT doc_id, pos, depth FROM el WHERE kind <> 'paragraph'),
 pa AS (SELECT el.doc_id, el.pos, max(hd.pos) AS up FROM el LEFT JOIN hd ON hd.doc_id = el.doc_id AND hd.pos < el.pos AND (el.kind = 'paragraph' OR hd.depth < el.depth) GROUP BY ALL),
-kids AS (SELECT doc_id, up, count(*) AS n FROM pa WHERE up IS NOT NULL GROUP BY ALL)
-SELECT pa.doc_id, 'el-' || pa.pos AS id, 'el-' || up AS parent_id, coalesce(n, 0) AS n_children FROM pa LEFT JOIN kids ON kids.doc_id = pa.doc_id AND kids.up = pa.pos""".replace("LEFT JOIN kids", "LEFT JOIN (SELECT doc_id, up AS at, n FROM kids) kids").replace("kids.up", "kids.at"))
+kids AS (SELECT doc_id, up, string_agg('el-' || pos, ' ' ORDER BY pos) AS n FROM pa WHERE up IS NOT NULL GROUP BY ALL)
+SELECT pa.doc_id, 'el-' || pa.pos AS id, 'el-' || up AS parent_id, coalesce(n, '') AS children FROM pa LEFT JOIN kids ON kids.doc_id = pa.doc_id AND kids.up = pa.pos""".replace("LEFT JOIN kids", "LEFT JOIN (SELECT doc_id, up AS at, n FROM kids) kids").replace("kids.up", "kids.at"))
 def hierarchy(spark, sf):
-    return D.hierarchy(_elements(spark, sf)).select("doc_id", "id", "parent_id", F.size("children").cast("long").alias("n_children"))
+    return D.hierarchy(_elements(spark, sf)).select("doc_id", "id", "parent_id", F.array_join("children", " ").alias("children"))
 
 
 _FOLD = """r AS (SELECT doc_id, ts, 1 AS i, ts[1] AS cur, strlen(ts[1]) AS n, 0 AS c FROM l UNION ALL
 SELECT doc_id, ts, i + 1, CASE WHEN n + strlen(ts[i + 1]) > 1000 THEN ts[i + 1] ELSE cur || chr(10) || ts[i + 1] END, CASE WHEN n + strlen(ts[i + 1]) > 1000 THEN strlen(ts[i + 1]) ELSE n + strlen(ts[i + 1]) END, CASE WHEN n + strlen(ts[i + 1]) > 1000 THEN c + 1 ELSE c END FROM r WHERE i < len(ts))"""
 
 
-@query(f"WITH RECURSIVE {_ELEMENTS}, l AS (SELECT doc_id, list(text ORDER BY pos) AS ts FROM el GROUP BY doc_id), {_FOLD} SELECT doc_id, CAST(c AS BIGINT) AS chunk_index, cur AS text, CAST(strlen(cur) AS BIGINT) AS char_count FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, c ORDER BY i DESC) AS k FROM r) WHERE k = 1")
+_CHUNKS = "SELECT {keys}, c, cur AS text FROM (SELECT *, row_number() OVER (PARTITION BY {keys}, c ORDER BY i DESC) AS k FROM r) WHERE k = 1"
+_TAIL = "right({0}, coalesce(list_min(list_filter(range(1, {1} + 1), lambda i: strlen(right({0}, i)) >= {1})), {1}))"
+
+
+@query(f"WITH RECURSIVE {_ELEMENTS}, l AS (SELECT doc_id, list(text ORDER BY pos) AS ts FROM el GROUP BY doc_id), {_FOLD} SELECT doc_id, CAST(c AS BIGINT) AS chunk_index, text, CAST(strlen(text) AS BIGINT) AS char_count FROM ({_CHUNKS.format(keys='doc_id')})")
 def chunk_basic(spark, sf):
-    return D.chunk_basic(_elements(spark, sf), 1000)
+    return chunking.chunk_basic(_elements(spark, sf), 1000)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ELEMENTS}, l AS (SELECT doc_id, list(text ORDER BY pos) AS ts FROM el GROUP BY doc_id), {_FOLD}, ch AS ({_CHUNKS.format(keys='doc_id')}),
+o AS (SELECT doc_id, c, text FROM ch WHERE c = 0 UNION ALL SELECT ch.doc_id, ch.c, {_TAIL.format('o.text', 100)} || ch.text FROM o JOIN ch ON ch.doc_id = o.doc_id AND ch.c = o.c + 1)
+SELECT doc_id, CAST(c AS BIGINT) AS chunk_index, text, CAST(strlen(text) AS BIGINT) AS char_count FROM o""")
 def chunk_overlap(spark, sf):
-    return D.chunk_basic(_elements(spark, sf), 1000, 100)
+    return chunking.chunk_basic(_elements(spark, sf), 1000, 100)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ELEMENTS}, s AS (SELECT doc_id, pos, text, kind <> 'paragraph' AS head, sum(CASE WHEN kind <> 'paragraph' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS sec FROM el),
+l AS (SELECT doc_id, sec, max(text) FILTER (head) AS section, list(text ORDER BY pos) AS ts FROM s GROUP BY doc_id, sec),
+{_FOLD.replace('SELECT doc_id, ts', 'SELECT doc_id, sec, section, ts')}
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec, c) - 1 AS chunk_index, section, text, CAST(strlen(text) AS BIGINT) AS char_count FROM ({_CHUNKS.format(keys='doc_id, sec, section')})""")
 def chunk_by_title(spark, sf):
-    return D.chunk_by_title(_elements(spark, sf), 1000)
+    return chunking.chunk_by_title(_elements(spark, sf), 1000)
+
+
+@query()
+def chunk_recursive(spark, sf):
+    return chunking.chunk_recursive(_elements(spark, sf), 1000, 200)
+
+
+@query()
+def chunk_semantic(spark, sf):
+    return chunking.chunk_semantic(_elements(spark, sf), 1000, percentile=25)
+
+
+@query(f"""WITH RECURSIVE {_ELEMENTS}, l AS (SELECT doc_id, list(text ORDER BY pos) AS ts FROM el GROUP BY doc_id), {_FOLD}, ch AS ({_CHUNKS.format(keys='doc_id')}),
+t AS (SELECT doc_id, 'from ' || source AS title FROM documents), x AS (SELECT ch.doc_id, c, coalesce(title, '') || ' > ' || chr(10) || chr(10) || text AS text FROM ch LEFT JOIN t USING (doc_id))
+SELECT doc_id, CAST(c AS BIGINT) AS chunk_index, text, CAST(strlen(text) AS BIGINT) AS char_count FROM x""")
+def chunk_context(spark, sf):
+    titles = _t(spark, sf, "documents").select("doc_id", F.concat(F.lit("from "), "source").alias("title"))
+    return chunking.with_context(chunking.chunk_basic(_elements(spark, sf), 1000), titles)
+
 
+@query(f"""WITH RECURSIVE {_ELEMENTS}, l AS (SELECT doc_id, list(text ORDER BY pos) AS ts FROM el GROUP BY doc_id), {_FOLD}, ch AS ({_CHUNKS.format(keys='doc_id')})
+SELECT doc_id, regexp_replace(string_agg(text || chr(10) || chr(10) || '---' || chr(10) || chr(10), '' ORDER BY c), '\\s+$', '') AS rendered FROM ch GROUP BY doc_id""")
+def chunks_rendered(spark, sf):
+    return chunking.chunk_and_render(_elements(spark, sf), "basic", "markdown", limit=1000, overlap=0)
 
-@query(f"WITH {_ELEMENTS} SELECT doc_id, string_agg(CASE kind WHEN 'title' THEN '# ' || text WHEN 'heading' THEN repeat('#', CAST(depth + 1 AS INT)) || ' ' || text ELSE text END, chr(10) || chr(10) ORDER BY pos) AS markdown FROM el GROUP BY doc_id")
+
+_TITLES = "t AS (SELECT doc_id, min_by(text, pos) AS title FROM el WHERE kind <> 'paragraph' GROUP BY doc_id)"
+
+
+@query(f"WITH {_ELEMENTS}, {_TITLES} SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN source END, title) AS title FROM documents FULL JOIN t USING (doc_id)")
+def document_title(spark, sf):
+    given = _t(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("title"))
+    return D.document_titles(_elements(spark, sf), given)
+
+
+_MARK = "CASE kind WHEN 'title' THEN '# ' || text || chr(10) || chr(10) WHEN 'heading' THEN repeat('#', CAST(depth + 1 AS INT)) || ' ' || text || chr(10) || chr(10) ELSE text || chr(10) || chr(10) END"
+
+
+@query(f"""WITH {_ELEMENTS}, b AS (SELECT doc_id, string_agg({_MARK}, '' ORDER BY pos) AS body, min_by(kind, pos) AS first FROM el GROUP BY doc_id)
+SELECT doc_id, regexp_replace(CASE WHEN first <> 'title' AND source IS NOT NULL THEN '# ' || source || chr(10) || chr(10) ELSE '' END || body, '\\s+$', '') AS markdown FROM b JOIN documents USING (doc_id)""")
 def render_markdown(spark, sf):
-    return D.render_markdown(_elements(spark, sf))
+    return rendering.to_markdown(_elements(spark, sf), _t(spark, sf, "documents").select("doc_id", F.col("source").alias("title")))
+
+
+_SAFE = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 
 
-@query(f"WITH {_ELEMENTS}, g AS (SELECT *, CASE kind WHEN 'title' THEN 'h1' WHEN 'heading' THEN 'h' || (depth + 1) ELSE 'p' END AS t FROM el) SELECT doc_id, string_agg('<' || t || '>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</' || t || '>', chr(10) ORDER BY pos) AS html FROM g GROUP BY doc_id")
+@query(f"WITH {_ELEMENTS}, g AS (SELECT *, CASE kind WHEN 'title' THEN 'h1' WHEN 'heading' THEN 'h' || (depth + 1) ELSE 'p' END AS t FROM el) SELECT doc_id, '<!DOCTYPE html>' || chr(10) || '<html>' || chr(10) || '<body>' || chr(10) || string_agg('<' || t || '>' || {_SAFE.format('text')} || '</' || t || '>' || chr(10), '' ORDER BY pos) || '</body>' || chr(10) || '</html>' AS html FROM g GROUP BY doc_id")
 def render_html(spark, sf):
-    return D.render_html(_elements(spark, sf))
+    return rendering.to_html(_elements(spark, sf))
 
 
-@query(f"WITH {_ELEMENTS} SELECT doc_id, string_agg(text, chr(10) ORDER BY pos) AS plain FROM el GROUP BY doc_id")
+@query(f"WITH {_ELEMENTS} SELECT doc_id, regexp_replace(string_agg(text, chr(10) ORDER BY pos), '\\s+$', '') AS plain FROM el GROUP BY doc_id")
 def render_text(spark, sf):
-    return D.render_text(_elements(spark, sf))
+    return rendering.to_plain_text(_elements(spark, sf))
+
+
+@query(f"WITH {_ELEMENTS} SELECT doc_id, count(*) AS n_lines, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM el GROUP BY doc_id")
+def render_jsonl(spark, sf):
+    """Each line parsed again: as many as elements, with their texts."""
+    lines = rendering.to_jsonl(_elements(spark, sf)).select("doc_id", F.explode(F.split("jsonl", "\n")).alias("j"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.octet_length(F.get_json_object("j", "$.text"))).cast("long").alias("bytes"))
+
+
+@query(f"WITH {_ELEMENTS} SELECT doc_id, count(*) AS n_elements, min_by(kind, pos) AS first_kind, lang FROM el JOIN documents USING (doc_id) GROUP BY doc_id, lang")
+def render_json(spark, sf):
+    j = rendering.to_json(_elements(spark, sf), _t(spark, sf, "documents").select("doc_id", "lang"))
+    return j.select("doc_id", F.expr("cast(json_array_length(get_json_object(json, '$.elements')) AS long)").alias("n_elements"), F.get_json_object("json", "$.elements[0].kind").alias("first_kind"), F.get_json_object("json", "$.metadata.lang").alias("lang"))
+
+
+@query("SELECT page_id, 'out/' || regexp_extract(url, '([^/]*)/*$', 1) || '.md' AS path FROM pages")
+def render_path(spark, sf):
+    return _t(spark, sf, "pages").select("page_id", rendering.output_path(F.col("url"), "out/", "markdown").alias("path"))
+
+
+_CAPTION = "regexp_matches(regexp_replace(lower(text), '^\\s+', ''), '^(figure |figure\u00a0|fig[.] |fig |table |image |illustration |plate )[0-9]')"
+
 
+@query(f"""WITH {_ELEMENTS}, k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n, pos, CASE WHEN pos % 7 = 1 THEN 'image' ELSE 'paragraph' END AS kind, CASE WHEN pos % 5 = 2 THEN 'Figure ' || pos ELSE text END AS text FROM el)
+SELECT doc_id, n, {_CAPTION} AS caption FROM k""")
+def caption_predicate(spark, sf):
+    e = _with_images(_elements(spark, sf))
+    return e.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")).cast("long").alias("n"), D.is_caption(F.col("text")).alias("caption"))
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^\\*\\* (REJECT|RESERVED|DISPUTED) \\*\\*.*$', '', 'g'), '(?m)^\\s*https?://\\S+\\s*$', '', 'g'), '(?m)^\\s*All rights reserved\\.?\\s*$', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g') AS text FROM documents")
+
+def _with_images(e: DataFrame) -> DataFrame:
+    return e.withColumn("text", F.when(F.col("pos") % 5 == 2, F.concat(F.lit("Figure "), "pos")).otherwise(F.col("text"))).withColumn("kind", F.when(F.col("pos") % 7 == 1, "image").otherwise("paragraph"))
+
+
+@query()
+def captions(spark, sf):
+    return D.captions(_with_images(_elements(spark, sf))).select("doc_id", "pos", "caption_id", "image_id").where("caption_id IS NOT NULL OR image_id IS NOT NULL")
+
+
+# --- hygiene
+
+
+def _stripped_sql(text: str) -> str:
+    for p in hygiene.BOILERPLATE:
+        text = f"regexp_replace({text}, '{p.replace('(?md)', '(?m)').replace('(?id)', '(?i)')}', '', 'g')"
+    lines = f"list_transform(string_split(regexp_replace({text}, '\\r?\\n$', ''), chr(10)), lambda x: regexp_replace(x, '\\r$', ''))"
+    blank = "regexp_matches({}, '^\\s*$')"
+    return f"regexp_replace(array_to_string(list_filter({lines}, lambda x, i: i = 1 OR NOT ({blank.format('x')} AND {blank.format('(' + lines + ')[i - 1]')})), chr(10)), '^\\n', '')"
+
+
+_DIRTY = "d AS (SELECT doc_id, source, CASE doc_id % 4 WHEN 0 THEN '** REJECT ** ' || text WHEN 1 THEN replace(text, chr(10), chr(10) || ' ' || chr(10) || 'https://example.com/a' || chr(10)) WHEN 2 THEN 'see cpe:2.3:a:x:y:* NOTE: Links are provided as is' || chr(10) || text ELSE text END AS text FROM documents)"
+
+
+def _dirty(spark, sf):
+    n = F.col("doc_id") % 4
+    text = F.when(n == 0, F.concat(F.lit("** REJECT ** "), "text")).when(n == 1, F.replace("text", F.lit("\n"), F.lit("\n \nhttps://example.com/a\n"))).when(n == 2, F.concat(F.lit("see cpe:2.3:a:x:y:* NOTE: Links are provided as is\n"), "text")).otherwise(F.col("text"))
+    return _t(spark, sf, "documents").withColumn("text", text)
+
+
+@query(f"WITH {_DIRTY} SELECT doc_id, {_stripped_sql('text')} AS text FROM d")
 def hygiene_boilerplate(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", D.strip_boilerplate(F.col("text")).alias("text"))
+    return _dirty(spark, sf).select("doc_id", hygiene.strip_boilerplate(F.col("text")).alias("text"))
+
+
+_CHAIN = f"""WITH {_DIRTY}, k AS (SELECT DISTINCT doc_id, true AS kev_flag FROM labels WHERE toxic = 1),
+s AS (SELECT doc_id, text, {_stripped_sql('text')} AS t, kev_flag FROM d LEFT JOIN k USING (doc_id) WHERE source NOT IN ('src0', 'src3') OR source IS NULL),
+f AS (SELECT doc_id, text, t, regexp_replace(regexp_replace(t, '^\\s+', ''), '\\s+$', '') AS new, kev_flag FROM s)"""
+
+
+def _chain(spark, sf):
+    d = _dirty(spark, sf)
+    known = _t(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("cve_id"))
+    return hygiene.chain(d.select("doc_id", F.lit(0).alias("chunk_index"), "text"), d.select("doc_id", F.col("source").alias("vuln_status"), F.col("doc_id").alias("cve_id")), [hygiene.strip_boilerplate], known, reject=("src0", "src3"))
+
+
+@query(f"{_CHAIN} SELECT doc_id, new AS text, CAST(strlen(new) AS BIGINT) AS char_count, kev_flag FROM f WHERE new <> ''")
+def hygiene_chain(spark, sf):
+    return _chain(spark, sf)[0].drop("chunk_index")
+
+
+@query(f"{_CHAIN} SELECT (SELECT count(*) FROM d WHERE source IN ('src0', 'src3')) AS docs_rejected, count(*) FILTER (new <> '' AND strlen(t) <> strlen(text)) AS chunks_stripped, count(*) FILTER (new = '') AS chunks_lang_dropped, count(*) FILTER (new <> '' AND kev_flag) AS chunks_kev_tagged FROM f")
+def hygiene_stats(spark, sf):
+    return _chain(spark, sf)[1]
+
+
+@query()
+def hygiene_security_profile(spark, sf):
+    d = _t(spark, sf, "documents")
+    return hygiene.security_profile(d.select("doc_id", F.lit(0).alias("chunk_index"), "text"), d.select("doc_id", F.col("source").alias("vuln_status")))[0].select("doc_id", "char_count")
+
+
+@query()
+def language_documents(spark, sf):
+    return language.of_documents(_elements(spark, sf))
+
+
+@query()
+def language_elements(spark, sf):
+    return language.of_elements(_elements(spark, sf)).select("doc_id", "pos", "language", "language_confidence")
+
+
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 'eng' WHEN 'de' THEN 'deu' WHEN 'fr' THEN 'fra' WHEN 'es' THEN 'spa' ELSE lang END AS three, CASE WHEN lang IN ('en', 'de', 'fr', 'es') THEN lang WHEN lang IS NOT NULL THEN 'und' END AS two FROM documents")
+def language_codes(spark, sf):
+    d = _t(spark, sf, "documents").withColumn("three", language.three_letters(F.col("lang")))
+    return d.select("doc_id", "three", language.two_letters(F.col("three")).alias("two"))
 
 
 @query("SELECT doc_id, lang FROM documents WHERE source IS NULL OR source NOT IN ('src0', 'src3')")
@@ -312,10 +479,11 @@ _ITEMS = "i AS (SELECT l_orderkey AS page, l_linenumber AS seq, l_quantity * 10
 SELECT page, seq, column_no, row_number() OVER (PARTITION BY page ORDER BY column_no, y DESC, x, seq) AS reading_order FROM i JOIN c USING (page, x)""")
 def pdf_columns(spark, sf):
     i = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("seq"), (F.col("l_quantity") * 10).alias("x"), (F.col("l_discount") * 1000).alias("y"))
-    return parsers.page_columns(i).select("page", "seq", "column_no", "reading_order")
+    return pages.page_columns(i).select("page", "seq", "column_no", "reading_order")
 
 
-@query()
+@query("""SELECT field, kind, count(*) AS n FROM (SELECT field, CASE t WHEN 'BOOLEAN' THEN 'bool' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN CASE WHEN regexp_matches(v, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') AND TRY_CAST(v AS DATE) IS NOT NULL THEN 'date' ELSE 'string' END WHEN 'OBJECT' THEN NULL WHEN 'NULL' THEN NULL ELSE 'numeric' END AS kind
+FROM (SELECT field, json_type(props, '$.' || field) AS t, json_extract_string(props, '$.' || field) AS v FROM (SELECT props, unnest(json_keys(props)) AS field FROM events))) WHERE kind IS NOT NULL GROUP BY ALL""")
 def jsonl_infer(spark, sf):
     return ingest.infer_fields(_t(spark, sf, "events"), "props")
 
@@ -374,12 +542,9 @@ def exact_dup(spark, sf):
 
 @query()
 def minhash_jaccard(spark, sf):
-    """Benchmark items divisible by 50 against all documents: estimated Jaccard similarity of at least 0.1."""
-    q = similarity.signatures(_t(spark, sf, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("query_id"), F.col("sig").alias("q"))
-    d = similarity.signatures(_t(spark, sf, "documents")).select("doc_id", "sig")
-    lanes = lambda x, i, s: x.select(i, F.posexplode(s).alias("lane", "h"))
-    same = lanes(q, "query_id", "q").join(lanes(d, "doc_id", "sig"), ["lane", "h"]).groupBy("query_id", "doc_id").agg((F.count("*") / similarity.LANES).alias("jaccard"))
-    return same.where("jaccard >= 0.1")
+    """Documents whose id is divisible by 50 against all documents: estimated Jaccard similarity of at least 0.8."""
+    s = similarity.signatures(_t(spark, sf, "documents"))
+    return similarity.near(s.where("doc_id % 50 = 0"), s, 0.8)
 
 
 # --- graphs
@@ -420,3 +585,6 @@ def corpus_stats(spark, sf):
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
 def latency_percentiles(spark, sf):
     return _t(spark, sf, "events").groupBy("event_type").agg(*[F.round(F.percentile("value", q / 100), 6).alias(f"p{q}") for q in (50, 95, 99)], F.round(F.avg("value"), 6).alias("mean"))
+
+
+from . import catalogue_corpora  # noqa: E402, F401 - registers the queries of sources, corpora and evaluation

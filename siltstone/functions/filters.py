@@ -49,7 +49,7 @@ def literal(text: str, quoted: bool):
         except ValueError:
             return text
     try:
-        return float(text)
+        return text if "_" in text else float(text)
     except ValueError:
         return text
 
@@ -227,8 +227,17 @@ def to_column(tree, df: DataFrame) -> Column:
     return sure(test & ~F.isnan(c)) if isinstance(t, (T.DoubleType, T.FloatType)) else sure(test)
 
 
-def apply(df: DataFrame, text: str) -> DataFrame:
-    return df.where(to_column(parse(text), df))
+def apply(df: DataFrame, condition) -> DataFrame:
+    """The rows that meet a filter: text, its JSON form, or a parsed one."""
+    tree = parse(condition) if isinstance(condition, str) else from_json(condition) if isinstance(condition, dict) else condition
+    return df.where(to_column(tree, df))
+
+
+def from_ids(text: str, field: str, closure: dict[int, list[int]]):
+    """Of the weakness ids in a query's text, a filter for them and their descendants; None without any."""
+    ids = {int(m) for m in re.findall(r"(?i)\bCWE-(\d+)\b", text)}
+    found = sorted({d for i in ids for d in closure.get(i, [i])})
+    return Compare(field, "IN", tuple(map(float, found))) if found else None
 
 
 class Field:

@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Half-life in days and floor of each strength; score factor of rows without a date.
 LADDER = {"light": (365, 0.75), "medium": (180, 0.60), "strong": (60, 0.45)}
 PRIOR = 1.0
-#: Words that ask for recent things; CVE ids are masked before the year is looked for.
-RECENT = [r"\b(latest|newest|most recent|recent|recently|currently|current|up[- ]to[- ]date)\b", r"\b(today|yesterday|this (week|month|year)|last (week|month|year))\b", r"\b(past|last) \d+ (days?|weeks?|months?|years?)\b", r"\b(since|after) (19|20)\d\d\b", r"\bnew (vulnerabilit|exploit|release|version)"]
+# What asks for recent things. A word of recency needs a security noun within a few words behind it; the year
+# 2026 needs one on either side, and is looked for with CVE ids masked.
+_NOUN = r"advisory|exploit|bypass|cve|disclosure|vulnerabilit(?:y|ies)|patch|guidance"
+_YEAR_NOUN = r"cve|vulnerabilit(?:y|ies)|advisory|disclosure|exploit|poc|mitigation|patch"
+RECENT = [
+    rf"(?i)\b(latest|newest|current(?:ly)?|newer)\b(?:\W+\w+){{0,6}}\W+({_NOUN}|kev|mitigation|poc)\b",
+    rf"(?i)\brecent(?:ly)?\b(?:\W+\w+){{0,4}}\W+({_NOUN})\b",
+    r"(?i)\bstill\s+(exploited|in\s+kev|vulnerable|unpatched)\b",
+    r"(?i)\bas\s+of\s+(today|now|this\s+(week|month))\b",
+    r"(?i)\bthis\s+(week|month)\b",
+]
+RECENT_YEAR = rf"(?i)(?:\b2026\b(?:\W+\w+){{0,4}}\W+({_YEAR_NOUN})\b|\b({_YEAR_NOUN})\b(?:\W+\w+){{0,4}}\W+\b2026\b)"
+CVE_ID = r"(?i)\bCVE-\d{4}-\d{4,}\b"
 
 
 def factor(date: Column, now: str, halflife: float, floor: float, prior: float = PRIOR) -> Column:
@@ -22,24 +33,41 @@ def multiplicative(hits: DataFrame, date: Column, now: str, halflife: float, flo
 
 
 def additive(hits: DataFrame, date: Column, now: str, halflife: float, alpha: float, prior: float = 0.5, by: str = "query_id") -> DataFrame:
-    """alpha * the score scaled to 0..1 within its query (0.5 where all are equal) + (1 - alpha) * the decay."""
-    w = Window.partitionBy(by)
-    low, high = F.min("score").over(w), F.max("score").over(w)
-    unit = F.when(high > low, F.try_divide(F.col("score") - low, high - low)).otherwise(0.5)
-    return hits.withColumn("score", alpha * unit + (1 - alpha) * factor(date, now, halflife, 0.0, prior))
+    """alpha * the score scaled to 0..1 within its query (0.5 where all are equal) + (1 - alpha) * the decay.
 
+    Bounds are grouped minima and maxima, one row a query, and are joined: a query with many rows is not gathered.
+    """
+    bounds = hits.groupBy(F.col(by).alias("_by")).agg(F.min("score").alias("_low"), F.max("score").alias("_high"))
+    j = hits.join(bounds, F.col(by).eqNullSafe(F.col("_by")))
+    unit = F.when(F.col("_high") > F.col("_low"), F.try_divide(F.col("score") - F.col("_low"), F.col("_high") - F.col("_low"))).otherwise(0.5)
+    return j.withColumn("score", alpha * unit + (1 - alpha) * factor(date, now, halflife, 0.0, prior)).select(*hits.columns)
 
-def seeks_recent(text: Column, year: int = 2026) -> Column:
-    low = F.lower(text)
-    masked = F.regexp_replace(low, r"cve-[0-9]{4}-[0-9]+", " ")
-    out = masked.rlike(rf"\b{year}\b")
+
+def extract_date(*fields: Column) -> Column:
+    """The first of the fields that holds a date."""
+    return F.coalesce(*[F.try_to_date(f.cast("string"), "yyyy-MM-dd") for f in fields])
+
+
+def seeks_recent(text: Column) -> Column:
+    out = F.regexp_replace(text, CVE_ID, "___").rlike(RECENT_YEAR)
     for p in RECENT:
-        out = out | low.rlike(p)
+        out = out | text.rlike(p)
     return F.coalesce(out, F.lit(False))
 
 
-def policy(text: Column, year: int = 2026) -> Column:
-    return F.when(seeks_recent(text, year), "medium").otherwise("off")
+def policy(text: Column) -> Column:
+    """The abstaining detector: medium where the text surely asks for recent things, else off."""
+    return F.when(seeks_recent(text), "medium").otherwise("off")
+
+
+def oracle_policy(intent: Column) -> Column:
+    """By a known intent: medium for recency_seeking, else off."""
+    return F.when(intent == "recency_seeking", "medium").otherwise("off")
+
+
+def resolved(setting: Column, detected: Column) -> Column:
+    """A query's policy setting (auto, off, light, medium, strong), with auto resolved by a detector."""
+    return F.when(setting == "auto", detected).when(setting.isin(*LADDER), setting).otherwise("off")
 
 
 def by_policy(hits: DataFrame, date: Column, now: str, strength: str = "policy") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Retrieval metrics, gold-set scores, buckets, baselines."""
+"""Retrieval metrics, gold sets, buckets, matrices of variants, baselines and gates, reports."""
 
 from __future__ import annotations
 
@@ -44,9 +44,123 @@ def baseline_diff(now: DataFrame, base: DataFrame, slack: float = 0.02) -> DataF
 
 def field_stats(df: DataFrame, numeric: list[str], text: list[str]) -> DataFrame:
     """(field, kind, distinct, low, high)"""
+    names = [*((n, "numeric") for n in numeric), *((n, "string") for n in text)]
+    # one scan: a row a field and value, then a row a value, then a row a field; no field's values meet in one task
+    value = lambda n, kind: F.struct(F.lit(n).alias("field"), F.lit(kind).alias("kind"), F.col(n).cast("string").alias("s"), (F.col(n).cast("double") if kind == "numeric" else F.lit(None).cast("double")).alias("x"))
+    each = df.select(F.explode(F.array(*[value(n, k) for n, k in names])).alias("v")).select("v.*").groupBy("field", "kind", "s").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    return each.groupBy("field", "kind").agg(F.count("s").alias("distinct"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+CUTS = (1, 5, 10, 20)
+
+
+def at_cuts(ranked: DataFrame, qrels: DataFrame, cuts: tuple[int, ...] = CUTS) -> DataFrame:
+    """(n, recall_K for each cut, mrr_10, ndcg_10, hit_rate_10): means over all judged queries."""
     out = None
-    for name, kind in [*((n, "numeric") for n in numeric), *((n, "string") for n in text)]:
-        bound = lambda f: f(F.col(name)).cast("double") if kind == "numeric" else F.lit(None).cast("double")  # noqa: B023, E731
-        row = df.agg(F.count_distinct(name).alias("distinct"), bound(F.min).alias("low"), bound(F.max).alias("high")).select(F.lit(name).alias("field"), F.lit(kind).alias("kind"), "distinct", "low", "high")
-        out = row if out is None else out.unionByName(row)
-    return out
+    for k in sorted({*cuts, 10}):
+        s = per_query(ranked, qrels, k)
+        cols = ([F.avg("recall").alias(f"recall_{k}")] if k in cuts else []) + ([F.count("*").alias("n"), F.avg("mrr").alias("mrr_10"), F.avg("ndcg").alias("ndcg_10"), F.avg(F.col("hit").cast("double")).alias("hit_rate_10")] if k == 10 else [])
+        row = s.agg(*[c for c in cols])
+        out = row if out is None else out.crossJoin(row)  # one row each
+    names = ["n", *(f"recall_{k}" for k in cuts), "mrr_10", "ndcg_10", "hit_rate_10"]
+    return out.select("n", *[F.round(c, 6).alias(c) for c in names[1:]])
+
+
+def by_document(ranked: DataFrame) -> DataFrame:
+    """ranked(query_id, doc_id, rank) of chunks: each document once, at its first chunk's place, ranked anew."""
+    first = ranked.groupBy("query_id", "doc_id").agg(F.min("rank").alias("_r"))
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("_r", "doc_id")).cast("long")).drop("_r")
+
+
+def gold_faults(gold: DataFrame, version: int) -> DataFrame:
+    """(id, fault) of gold(id, question, must_contain_cve_ids, must_contain_terms): no rows, no faults."""
+    bad = F.exists("must_contain_cve_ids", lambda c: ~c.rlike(r"^CVE-\d{4}-\d{4,}$"))
+    none = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
+    faults = F.filter(F.array(F.when(F.coalesce("id", F.lit("")) == "", "empty id"), F.when(F.trim(F.coalesce("question", F.lit(""))) == "", "empty question"), F.when(none("must_contain_cve_ids") & none("must_contain_terms"), "nothing to contain"), F.when(bad, "malformed CVE id")), lambda x: x.isNotNull())
+    each = gold.select("id", F.explode(faults).alias("fault"))
+    twice = gold.where("id <> ''").groupBy("id").count().where("count > 1").select("id", F.lit("duplicate id").alias("fault"))
+    out = each.unionByName(twice)
+    return out if version >= 1 else out.unionByName(gold.sparkSession.createDataFrame([(None, "version below 1")], "id string, fault string"))
+
+
+def gold_entries(hits: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
+    """(id, hit_1, hit_5, hit_10, reciprocal_rank, missing) of hits(id, rank, text): an entry is satisfied at the rank by which the chunks so far hold all its CVE ids and terms, in any case."""
+    need = gold.select("id", F.explode(F.concat(F.transform(F.coalesce("must_contain_cve_ids", F.array().cast("array<string>")), lambda c: F.struct(F.lit(True).alias("cve"), c.alias("what"))), F.transform(F.coalesce("must_contain_terms", F.array().cast("array<string>")), lambda c: F.struct(F.lit(False).alias("cve"), c.alias("what"))))).alias("n")).select("id", "n.cve", "n.what")
+    h = hits.where(F.col("rank") <= k).select("id", "rank", F.lower("text").alias("low"), F.expr("transform(regexp_extract_all(text, '(?i)CVE-\\\\d{4}-\\\\d+', 0), x -> upper(x))").alias("cves"))
+    there = F.when(F.col("cve"), F.array_contains("cves", F.upper("what"))).otherwise(F.contains("low", F.lower("what")))
+    seen = need.join(h, "id", "left").groupBy("id", "cve", "what").agg(F.min(F.when(there, F.col("rank"))).alias("at"))
+    g = seen.groupBy("id").agg(F.when(F.count_if(F.col("at").isNull()) == 0, F.max("at")).alias("at"), F.array_sort(F.collect_list(F.when(F.col("at").isNull(), F.col("what")))).alias("missing"))
+    return g.select("id", *[F.coalesce(F.col("at") <= n, F.lit(False)).alias(f"hit_{n}") for n in (1, 5, 10)], F.coalesce(1.0 / F.col("at"), F.lit(0.0)).alias("reciprocal_rank"), "missing")
+
+
+def matrix(entries: DataFrame, axes: DataFrame | None = None) -> DataFrame:
+    """(variant, axis, bucket, n, hit_1, hit_5, hit_10, mrr_10) of entries(variant, id, hit_*, reciprocal_rank): over all (axis `all`), and by each column of axes(id, ...)."""
+    e = entries.withColumn("all", F.lit("all"))
+    names = ["all"]
+    if axes is not None:
+        e, names = e.join(axes, "id"), ["all", *[c for c in axes.columns if c != "id"]]
+    x = e.select("variant", "hit_1", "hit_5", "hit_10", "reciprocal_rank", F.explode(F.array(*[F.struct(F.lit(n).alias("axis"), F.col(n).cast("string").alias("bucket")) for n in names])).alias("x"))
+    mean = lambda c: F.avg(F.col(c).cast("double"))
+    return x.groupBy("variant", "x.axis", "x.bucket").agg(F.count("*").alias("n"), *[mean(f"hit_{n}").alias(f"hit_{n}") for n in (1, 5, 10)], mean("reciprocal_rank").alias("mrr_10"))
+
+
+def _value(m: DataFrame, variant: str, metric: str, axis: str = "all", bucket: str = "all"):
+    return F.max(F.when((F.col("variant") == variant) & (F.col("axis") == axis) & (F.col("bucket") == bucket), F.col(metric)))
+
+
+#: Variants whose hit rate at five is taken from the primary one's: what reranking, context and fusion add.
+DELTAS = {"rerank_delta": "no_rerank", "contextual_delta": "no_contextual", "hybrid_delta": "dense_only"}
+
+
+def deltas(m: DataFrame) -> DataFrame:
+    """One row of a matrix: the deltas, and route_regret (what knowing the intent adds to the detector, mrr on the recency bucket); null where a variant did not run."""
+    regret = _value(m, "temporal_oracle", "mrr_10", "temporal_intent", "recency_seeking") - _value(m, "temporal_auto", "mrr_10", "temporal_intent", "recency_seeking")
+    return m.agg(*[(_value(m, "primary", "hit_5") - _value(m, v, "hit_5")).alias(k) for k, v in DELTAS.items()], regret.alias("route_regret"))
+
+
+def temporal_gates(m: DataFrame) -> DataFrame:
+    """(gate, base, value, ok): the detector loses at most 0.02 on historical and 0.01 on neutral questions, nothing on recent ones, and is no better than the known intent. ok is true where a variant is absent."""
+    v = lambda variant, metric, bucket: _value(m, variant, metric, "temporal_intent", bucket)
+    rows = [
+        ("historical", v("primary", "hit_5", "historical"), v("temporal_auto", "hit_5", "historical"), 0.02),
+        ("neutral", v("primary", "hit_5", "neutral"), v("temporal_auto", "hit_5", "neutral"), 0.01),
+        ("recency_seeking", v("primary", "mrr_10", "recency_seeking"), v("temporal_auto", "mrr_10", "recency_seeking"), 0.0),
+        ("oracle", v("temporal_auto", "mrr_10", "recency_seeking"), v("temporal_oracle", "mrr_10", "recency_seeking"), 0.0),
+    ]
+    a = m.agg(*[c for g, x, y, _ in rows for c in (x.alias(f"{g}_base"), y.alias(f"{g}_value"))])
+    each = F.explode(F.array(*[F.struct(F.lit(g).alias("gate"), F.col(f"{g}_base").alias("base"), F.col(f"{g}_value").alias("value"), F.coalesce(F.col(f"{g}_value") >= F.col(f"{g}_base") - slack, F.lit(True)).alias("ok")) for g, _, _, slack in rows]))
+    return a.select(each.alias("x")).select("x.*")
+
+
+SLACK = 0.02
+
+
+def regressions(now: DataFrame, base: DataFrame, bucket_slack: float = SLACK) -> DataFrame:
+    """(variant, metric, baseline, current, delta, slack) of two matrices: hit_5 and mrr_10 over all that fell by more than SLACK of the baseline, and hit_5 of a bucket by more than bucket_slack. Variants and buckets that did not run are passed over."""
+    j = base.alias("b").join(now.alias("n"), ["variant", "axis", "bucket"])
+    metric = lambda name, col, all_: F.struct(F.lit(all_).alias("all"), F.lit(name).alias("metric"), F.col(f"b.{col}").alias("baseline"), F.col(f"n.{col}").alias("current"))
+    x = j.select("variant", "axis", "bucket", F.explode(F.array(metric("hit@5", "hit_5", True), metric("MRR@10", "mrr_10", True), metric("hit_at_5", "hit_5", False))).alias("m")).where((F.col("axis") == "all") == F.col("m.all"))
+    name = F.when(F.col("m.all"), F.col("m.metric")).otherwise(F.concat("m.metric", F.lit("["), "axis", F.lit("."), "bucket", F.lit("]")))
+    slack = F.when(F.col("m.all"), F.lit(SLACK)).otherwise(F.lit(bucket_slack))
+    low = F.when(F.col("m.all"), F.col("m.current") < F.col("m.baseline") * (1 - SLACK)).otherwise(F.col("m.current") - F.col("m.baseline") + bucket_slack < 0)
+    return x.where(low).select("variant", name.alias("metric"), "m.baseline", "m.current", (F.col("m.current") - F.col("m.baseline")).alias("delta"), slack.alias("slack"))
+
+
+STAGES = ("embed_us", "bm25_us", "hnsw_us", "rerank_us", "fuse_us")
+
+
+def latency(times: DataFrame, stages: tuple[str, ...] = STAGES) -> DataFrame:
+    """(stage, p50, p95, p99, total) of times with a column of microseconds a stage, and `total_us`, their sum."""
+    t = times.withColumn("total_us", sum((F.coalesce(F.col(s), F.lit(0)) for s in stages), F.lit(0)))
+    x = t.select(F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.coalesce(F.col(s), F.lit(0)).cast("long").alias("us")) for s in (*stages, "total_us")])).alias("x")).select("x.*")
+    return x.groupBy("stage").agg(*[F.percentile("us", q / 100).alias(f"p{q}") for q in (50, 95, 99)], F.sum("us").alias("total"))
+
+
+REPORT = 1
+
+
+def report(metrics: DataFrame, **about) -> DataFrame:
+    """(json): one versioned envelope of a small table of metrics and what it was measured on."""
+    rows = metrics.agg(F.collect_list(F.struct(*metrics.columns)).alias("metrics"))
+    head = [F.lit(REPORT).alias("schema_version"), *[F.lit(v).alias(k) for k, v in about.items()]]
+    return rows.select(F.to_json(F.struct(*head, "metrics")).alias("json"))

@@ -1,12 +1,24 @@
-"""Search: exact vector top-k, BM25, rank fusion, reranking, thresholds. Every search takes a table of queries in one plan."""
+"""Search: exact vector top-k, an index of cells, BM25, rank fusion, reranking, thresholds, snippets.
+
+Every search takes a table of queries in one plan. Vectors are multiplied in Arrow batches, a block of queries at a time, and
+only what a query may still need leaves a batch.
+"""
 
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import stem
+from ..functions.embed import normalized
+
 #: Queries that are sent to all executors at a time; more are run block after block.
 BLOCK = 4096
 
@@ -22,16 +34,59 @@ def cosine(a: str, b: str) -> Column:
 
 
 def normalize(v: str) -> Column:
-    return F.expr(f"transform({v}, x -> coalesce(try_divide(cast(x AS double), sqrt(aggregate({v}, 0D, (s, y) -> s + cast(y AS double) * cast(y AS double)))), 0D))")
+    """Length one; zero vectors stay zero. For writing: searches need no norm of such vectors."""
+    return normalized(F.col(v))
 
 
-def scored(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """queries(query_id, q) against rows(id, v, ...): every pair with its cosine; queries in blocks of a bounded size."""
-    n = max(1, math.ceil(queries.count() / BLOCK))
-    out = None
+def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
+    """Rows of length one; zeros for a null, a zero vector and one of another length."""
+    sizes = lists.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(lists), dim))
+    ok = np.flatnonzero(sizes == dim)
+    flat = lists.take(pa.array(ok)).flatten().to_numpy(zero_copy_only=False)
+    out[ok] = np.nan_to_num(flat.astype(np.float64)).reshape(len(ok), dim)
+    norm = np.sqrt((out * out).sum(1, keepdims=True))
+    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+
+
+def scored(queries: DataFrame, rows: DataFrame, k: int | None = None, threshold: float | None = None, same: tuple[str, str] | None = None, differ: tuple[str, str] | None = None) -> DataFrame:
+    """Pairs of queries(query_id, q, ...) and rows(id, v, ...) with their cosine as `score`, all other columns kept.
+
+    With k, what can be among a query's k best of its batch (with ties); with a threshold, what reaches it; `same` and
+    `differ` name a column of the queries and one of the rows that must agree, or must not. With neither, every pair: for
+    sums over them, as the pairs grow with queries times rows. Unequal lengths and zero vectors score 0.
+    """
+    spark, left, right = queries.sparkSession, [c for c in queries.columns if c != "q"], [c for c in rows.columns if c != "v"]
+    kinds = [(c, queries.schema[c].dataType) for c in left] + [(c, rows.schema[c].dataType) for c in right]
+    schema = ", ".join(f"`{c}` {t.simpleString()}" for c, t in kinds) + ", score double"
+    n, out = max(1, math.ceil(queries.count() / BLOCK)), None
     for b in range(n):
         part = queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b)
-        pairs = rows.crossJoin(F.broadcast(part)).withColumn("score", cosine("q", "v")).drop("q", "v")
+        asked = part.select(*left, "q").toArrow().combine_chunks()
+        lengths = [x for x in asked.column("q").combine_chunks().value_lengths().to_pylist() if x]
+        dim = max(lengths, default=0)
+        sent = spark.sparkContext.broadcast((asked.drop_columns(["q"]), _matrix(asked.column("q").combine_chunks(), dim)))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, dim=dim) -> Iterator[pa.RecordBatch]:
+            asked, q = sent.value
+            for batch in batches:
+                if not len(q) or not batch.num_rows:
+                    continue
+                s = np.round(_matrix(batch.column(batch.num_columns - 1), dim) @ q.T, 12)
+                ok = np.ones(s.shape, bool)
+                for names, agree in ((same, True), (differ, False)):
+                    if names:
+                        mine = np.array(batch.column(right.index(names[1])).to_pylist(), object)[:, None]
+                        ok &= (mine == np.array(asked.column(names[0]).to_pylist(), object)[None, :]) == agree
+                if threshold is not None:
+                    ok &= s >= threshold
+                if k is not None and len(s) > k:
+                    kept = np.where(ok, s, -np.inf)
+                    ok &= kept >= -np.partition(-kept, k - 1, axis=0)[k - 1] if k else False
+                i, j = np.nonzero(ok)
+                yield pa.RecordBatch.from_arrays([*(asked.column(c).combine_chunks().take(pa.array(j)) for c in left), *(batch.column(x).take(pa.array(i)) for x in range(len(right))), pa.array(s[i, j])], names=[*left, *right, "score"])
+
+        pairs = rows.select(*right, "v").mapInArrow(run, schema)
         out = pairs if out is None else out.unionByName(pairs)
     return out
 
@@ -42,21 +97,99 @@ def top_k(pairs: DataFrame, k: int, by: str = "query_id", id_: str = "id") -> Da
     return pairs.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
-def dense_top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    return top_k(scored(queries, rows), k)
+def dense_top_k(queries: DataFrame, rows: DataFrame, k: int, **how) -> DataFrame:
+    return top_k(scored(queries, rows, k=k, **how), k)
+
+
+# --- an index of cells
+
+#: Rows that centres are fitted to, and rounds of fitting. The sample is the rows with the smallest hashed ids.
+FIT_ROWS, FIT_ROUNDS = 20_000, 12
+
+
+def fit_cells(rows: DataFrame, cells: int, fit_rows: int = FIT_ROWS) -> np.ndarray:
+    """Centres of k-means on the directions of a bounded sample of rows(id, v)."""
+    n = rows.count()
+    share = min(1.0, 1.5 * fit_rows / max(n, 1) + 0.001)
+    near = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.xxhash64("id")).limit(fit_rows).select("v").toArrow()
+    lists = near.column("v").combine_chunks()
+    x = _matrix(lists, max(lists.value_lengths().to_pylist(), default=0))
+    rng = np.random.default_rng(3)
+    centres = x[rng.choice(len(x), min(cells, len(x)), replace=False)] if len(x) else np.zeros((0, 0))
+    for _ in range(FIT_ROUNDS):
+        of = (x @ centres.T).argmax(1) if len(centres) else np.zeros(0, int)
+        for c in range(len(centres)):
+            if (m := x[of == c]).size and (norm := np.linalg.norm(m.sum(0))) > 0:
+                centres[c] = m.sum(0) / norm
+    return centres
+
+
+def in_cells(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Every row with the cell of its nearest centre. Written partitioned by cell, a search reads the cells it probes only."""
+    sent = rows.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = (_matrix(b.column(b.num_columns - 1), sent.value.shape[1]) @ sent.value.T).argmax(1)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns)), pa.array(c.astype(np.int32))], names=[*b.schema.names, "cell"])
+
+    cols = [*[c for c in rows.columns if c != "v"], "v"]
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in cols)
+    return rows.select(*cols).mapInArrow(run, f"{kinds}, cell int")
+
+
+def cell_top_k(queries: DataFrame, indexed: DataFrame, centres: np.ndarray, k: int, probes: int) -> DataFrame:
+    """top_k of the rows in the `probes` cells nearest to each query; approximate, and its recall grows with probes."""
+    spark, out = queries.sparkSession, None
+    n = max(1, math.ceil(queries.count() / BLOCK))
+    rows = [c for c in indexed.columns if c not in ("v", "cell")]
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, " + ", ".join(f"`{c}` {indexed.schema[c].dataType.simpleString()}" for c in rows) + ", score double"
+    for b in range(n):
+        part = queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b)
+        asked = part.select("query_id", "q").toArrow().combine_chunks()
+        q = _matrix(asked.column("q").combine_chunks(), centres.shape[1])
+        near = np.argsort(-(q @ centres.T), axis=1)[:, :probes]
+        by = {int(c): np.flatnonzero((near == c).any(1)) for c in np.unique(near)}
+        sent = spark.sparkContext.broadcast((asked.column("query_id").combine_chunks(), q, by))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, q, by = sent.value
+            for batch in batches:
+                cell = batch.column(batch.num_columns - 1).to_numpy()
+                v = _matrix(batch.column(batch.num_columns - 2), q.shape[1])
+                for c in np.unique(cell).tolist():
+                    i, j = np.flatnonzero(cell == c), by.get(c, np.zeros(0, int))
+                    if not len(j):
+                        continue
+                    s = np.round(v[i] @ q[j].T, 12)
+                    ok = s >= -np.partition(-s, k - 1, axis=0)[k - 1] if len(i) > k else np.ones(s.shape, bool)
+                    x, y = np.nonzero(ok)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(j[y])), *(batch.column(r).take(pa.array(i[x])) for r in range(len(rows))), pa.array(s[x, y])], names=["query_id", *rows, "score"])
+
+        found = indexed.where(F.col("cell").isin([int(c) for c in by])).select(*rows, "v", "cell").mapInArrow(run, schema)
+        out = found if out is None else out.unionByName(found)
+    return top_k(out, k)
+
+
+# --- text
 
 
 def tokens(text: str) -> Column:
     return F.expr(f"filter(split(lower({text}), '[^a-z0-9]+'), x -> x <> '')")
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def analyzed(text: str, stems: bool) -> Column:
+    """Tokens, with stems of English words in their place."""
+    return stem.stemmed(tokens(text)) if stems else tokens(text)
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, stems: bool = False) -> DataFrame:
     """queries(query_id, text), docs(id, text): top k by BM25 over exact lengths, OR of the distinct query terms.
 
     Document frequency and length are grouped sums; only postings of query terms are joined.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
-    words = docs.select("id", tokens("text").alias("t"))
+    terms = queries.select("query_id", F.explode(F.array_distinct(analyzed("text", stems))).alias("term"))
+    words = docs.select("id", analyzed("text", stems).alias("t"))
     stats = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("avg_len"))
     posted = words.select("id", F.size("t").alias("len"), F.explode("t").alias("term"))
     posted = posted.join(terms.select("term").distinct(), "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
@@ -87,10 +220,55 @@ def rerank(hits: DataFrame, score: Column, k: int) -> DataFrame:
 
 def above(queries: DataFrame, rows: DataFrame, threshold: float, top: int | None = None) -> DataFrame:
     """All pairs at or above the threshold, or each query's best `top` of them."""
-    pairs = scored(queries, rows).where(F.col("score") >= threshold)
+    pairs = scored(queries, rows, k=top, threshold=threshold)
     return pairs if top is None else top_k(pairs, top)
 
 
+def highlighted(query: Column, text: Column, n: int) -> Column:
+    """The stretch of at most n characters that holds most different query words (then most of them, then the first), by stems, as escaped HTML with them in bold; null without any."""
+
+    @F.pandas_udf("string")
+    def run(queries: pd.Series, texts: pd.Series) -> pd.Series:
+        out = []
+        for q, t in zip(queries, texts):
+            wanted = {stem.stem(w.lower()) for w in re.findall("[A-Za-z0-9]+", q or "")}
+            hits = [(m.start(), m.end(), s) for m in re.finditer("[A-Za-z0-9]+", t or "") if (s := stem.stem(m[0].lower())) in wanted]
+            best, first = None, 0
+            for last in range(len(hits)):
+                while first < last and hits[last][1] - hits[first][0] > n:
+                    first += 1
+                key = (len({h[2] for h in hits[first : last + 1]}), last - first, -hits[first][0])
+                if best is None or key > best[0]:
+                    best = (key, first, last)
+            out.append(None if best is None else _fragment(t, hits[best[1] : best[2] + 1], n))
+        return pd.Series(out)
+
+    return run(query, text)
+
+
+def _fragment(text: str, hits: list[tuple[int, int, str]], n: int) -> str:
+    """The text about the hits, widened to whole words up to n characters."""
+    words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+    a, b = hits[0][0], hits[-1][1]
+    inside = [w for w in words if w[1] > a and w[0] < b]
+    low, high = words.index(inside[0]), words.index(inside[-1])
+    if words[high][1] - words[low][0] > n:
+        start, stop = a, min(b, a + n)
+    else:
+        while high + 1 < len(words) and words[high + 1][1] - words[low][0] <= n:
+            high += 1
+        while low and words[high][1] - words[low - 1][0] <= n:
+            low -= 1
+        start, stop = words[low][0], words[high][1]
+    safe = lambda s: s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
+    out, at = [], start
+    for x, y, _ in hits:
+        if y <= stop:
+            out += [safe(text[at:x]), "<b>", safe(text[x:y]), "</b>"]
+            at = y
+    return "".join([*out, safe(text[at:stop])])
+
+
 def snippet(text: str, n: int) -> Column:
     """The text if it has at most n characters, else its first n cut at the last space, with an ellipsis."""
     return F.when(F.char_length(text) <= n, F.col(text)).otherwise(F.concat(F.regexp_replace(F.substring(text, 1, n), r" [^ ]*$", ""), F.lit("...")))

@@ -30,6 +30,47 @@ def _divides(line: str) -> bool:
     return "|" in line and all(_DASHES.match(c.strip()) for c in line.removeprefix("|").removesuffix("|").split("|"))
 
 
+class FrontmatterError(ValueError):
+    pass
+
+
+_PAIR = re.compile(r"([^\s:#][^:]*?)\s*:(?:\s+(.*))?$")
+
+
+def _scalar(value: str) -> str | None:
+    """A YAML scalar as a string: quotes and comments taken off, nulls left out; collections are an error."""
+    value = value.strip()
+    if value[:1] == "'" and (end := re.match(r"'((?:[^']|'')*)'\s*(?:#.*)?$", value)):
+        return end[1].replace("''", "'")
+    if value[:1] == '"' and (end := re.match(r'"((?:[^"\\]|\\.)*)"\s*(?:#.*)?$', value)):
+        return re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t"}.get(m[1], m[1]), end[1])
+    value = re.sub(r"(^|\s)#.*$", "", value).strip()
+    if value[:1] in ("[", "{", "|", ">", "&", "*"):
+        raise FrontmatterError(f"frontmatter values must be scalars, not {value!r}")
+    if value in ("", "~", "null", "Null", "NULL"):
+        return None
+    return value.lower() if value in ("True", "TRUE", "False", "FALSE") else value
+
+
+def frontmatter(text: str) -> tuple[dict[str, str], str]:
+    """(values, body): the scalars of a leading `---` block as strings. A block that is not closed is text."""
+    text = text.replace("\r\n", "\n")
+    if not (front := _FRONT.match(text)):
+        return {}, text
+    out, key = {}, None
+    for line in front[0].strip().split("\n")[1:-1]:
+        if not line.strip() or line.lstrip().startswith("#"):
+            continue
+        if line[0] in " \t-":
+            raise FrontmatterError("frontmatter values must be scalars")
+        if not (m := _PAIR.match(line)):
+            raise FrontmatterError(f"frontmatter must be a mapping, not {line!r}")
+        key = m[1].strip("'\"")
+        if (value := _scalar(m[2] or "")) is not None:
+            out[key] = value
+    return out, text[front.end() :]
+
+
 def elements(text: str) -> list[tuple[str, int, str, str | None]]:
     """(kind, depth, text, language) in order. A frontmatter block at the start is no element."""
     text = text.replace("\r\n", "\n")

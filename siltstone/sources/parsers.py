@@ -1,4 +1,4 @@
-"""Parsers of tables of files: HTML, CSV tables, vulnerability feeds, positioned text of pages."""
+"""Parsers of tables of texts: HTML pages, tables to Markdown."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _SKIP = {"script", "style", "nav", "header", "footer", "noscript", "svg"}
@@ -93,20 +93,3 @@ def table_markdown(rows: DataFrame, columns: list[str], order: str, per: int = 1
     head = "| " + " | ".join(columns) + " |\n|" + " --- |" * len(columns) + "\n"
     g = rows.select(F.floor(F.col(order) / per).cast("long").alias("part"), F.col(order).alias("_o"), line.alias("_l")).groupBy("part").agg(F.expr("array_join(transform(array_sort(collect_list(struct(_o, _l))), x -> x._l), '\n')").alias("_b"))
     return g.select("part", F.concat(F.lit(head), "_b").alias("markdown"))
-
-
-def nvd_records(feed: DataFrame) -> DataFrame:
-    """feed(vulnerabilities ARRAY<STRUCT<cve>>) -> (id, status, year, severity, vendor, product, lang, text): English descriptions, else all; without text, dropped."""
-    c = feed.select(F.explode("vulnerabilities.cve").alias("c")).select("c.*")
-    english = F.expr("filter(descriptions, x -> x.lang = 'en')")
-    text = F.array_join(F.when(F.size(english) > 0, english["value"]).otherwise(F.col("descriptions.value")), "\n\n")
-    cpe = F.expr("split(try_element_at(flatten(flatten(transform(configurations, x -> transform(x.nodes, n -> n.cpeMatch.criteria)))), 1), ':')")
-    return c.select("id", F.col("vulnStatus").alias("status"), F.expr("try_cast(substring(published, 1, 4) AS int)").alias("year"), F.expr("try_element_at(metrics.cvssMetricV31.cvssData.baseSeverity, 1)").alias("severity"), cpe[3].alias("vendor"), cpe[4].alias("product"), F.expr("try_element_at(descriptions.lang, 1)").alias("lang"), text.alias("text")).where("text <> ''")
-
-
-def page_columns(items: DataFrame, gap: float = 40.0) -> DataFrame:
-    """items(page, seq, x, y, text) -> with column_no and reading_order: columns are split where distinct x lie more than gap apart."""
-    w = Window.partitionBy("page").orderBy("x")
-    xs = items.select("page", "x").distinct().withColumn("_new", F.when(F.col("x") - F.lag("x").over(w) > gap, 1).otherwise(0)).withColumn("column_no", F.sum("_new").over(w).cast("long")).drop("_new")
-    j = items.join(xs, ["page", "x"])
-    return j.withColumn("reading_order", F.row_number().over(Window.partitionBy("page").orderBy("column_no", F.desc("y"), "x", "seq")).cast("long"))

@@ -10,9 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone import catalogue
-from siltstone.functions import filters, temporal
+from siltstone.functions import filters, language, temporal
 from siltstone.operators import documents as D
-from siltstone.operators import evaluation, ingest, retrieval, similarity, taxonomy
+from siltstone.operators import chunking, evaluation, hygiene, ingest, rendering, retrieval, similarity, taxonomy
 from siltstone.sources import formats, markdown, parsers
 
 SF = "/root/testdata/sf0.001"
@@ -61,11 +61,11 @@ def test_filter_contains_all_reads_whole_texts(spark, tmp_path):
 
 def test_chunk_overlap_keeps_characters_whole(spark):
     e = spark.createDataFrame([(1, 0, "paragraph", "aé"), (1, 1, "paragraph", "bbbb"), (1, 2, "paragraph", "c")], "doc_id long, pos long, kind string, text string")
-    assert [r.text for r in D.chunk_basic(e, 4, 1).orderBy("chunk_index").collect()] == ["aé", "ébbbb", "bc"]
+    assert [r.text for r in chunking.chunk_basic(e, 4, 1).orderBy("chunk_index").collect()] == ["aé", "ébbbb", "bc"]
 
 
 def test_temporal(spark):
-    r = spark.range(1).select(temporal.policy(F.lit("the latest fix")).alias("a"), temporal.policy(F.lit("CVE-2026-1234 details")).alias("b"), temporal.factor(F.lit("2024-03-01").cast("date"), "2024-02-01", 60, 0.45).alias("c"), temporal.factor(F.lit(None).cast("date"), "2024-02-01", 60, 0.45).alias("d")).first()
+    r = spark.range(1).select(temporal.policy(F.lit("the latest kernel exploit")).alias("a"), temporal.policy(F.lit("CVE-2026-1234 details")).alias("b"), temporal.factor(F.lit("2024-03-01").cast("date"), "2024-02-01", 60, 0.45).alias("c"), temporal.factor(F.lit(None).cast("date"), "2024-02-01", 60, 0.45).alias("d")).first()
     assert (r.a, r.b, r.c, r.d) == ("medium", "off", 1.0, 1.0)
 
 
@@ -124,3 +124,89 @@ def test_entry_without_the_training_data_folders(tmp_path):
         got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
         assert got.stdout.split() == [str(len(catalogue.QUERIES)), "False", "True"]
         (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
+
+
+def test_recursive_chunks():
+    r = chunking.recursive_pieces
+    assert r("", 5) == [] and r("abc", 5) == ["abc"]
+    assert r("aa\n\nbb\n\ncc", 6) == ["aa\n\n", "bb\n\ncc"]
+    assert r("one two three four", 8) == ["one two ", "three ", "four"]
+    assert r("a. bbbbbbbbbbbb c", 5) == ["a. ", "bbbbb", "bbbbb", "bb ", "c"]
+    assert r("abcdefgh", 3, ()) == ["abc", "def", "gh"]
+    assert r("ééé", 3, ("",)) == ["é�", "�é"] or r("ééé", 3, ("",)) == ["é�", "�é", ""]
+    assert "".join(r("x y. z\n\n" * 400, 50)) == "x y. z\n\n" * 400 and max(map(len, r("x y. z\n\n" * 400, 50))) <= 50
+    assert r("tiny\nbig big big\nend", 6) == ["tiny\n", "big ", "big ", "big\n", "end"]
+
+
+def test_semantic_chunks():
+    s = chunking.semantic_pieces
+    assert s([], 10) == [] and s(["only one"], 10) == ["only one"] and s(["", " "], 10) == ["\n "]
+    same = ["alpha beta gamma. alpha beta gamma. zzzz qqqq xxxx. zzzz qqqq xxxx"]
+    assert s(same, 100) == ["alpha beta gamma. alpha beta gamma.", "zzzz qqqq xxxx. zzzz qqqq xxxx"]
+    assert s(same, 20) == ["alpha beta gamma.", "alpha beta gamma.", "zzzz qqqq xxxx.", "zzzz qqqq xxxx"]
+    assert s(same, 100, threshold=-1.0) == ["alpha beta gamma. alpha beta gamma. zzzz qqqq xxxx. zzzz qqqq xxxx"]
+    assert len(s(same, 100, percentile=0)) == 1 and len(s(same, 100, percentile=100)) >= 2
+    v = chunking.trigram_vectors(["ab", "abc", "ABC", ""])
+    assert v[0][ord("a")] == 1 and v[0][ord("b")] == 2 and (v[1] == v[2]).all() and v[1].sum() == 1 and not v[3].any()
+
+
+def test_boilerplate(spark):
+    cases = [
+        ("** REJECT ** This was issued in error.", " This was issued in error."),
+        ("**DISPUTED** x", " x"),
+        ("Affects cpe:2.3:a:apache:log4j:*:* and more", "Affects  and more"),
+        ("See it.\nhttps://example.com/a\nFor details.", "See it.\n\nFor details."),
+        ("See https://example.com/a for more.", "See https://example.com/a for more."),
+        ("a\n\n  \n\t\nb\n\nc\n", "a\n\nb\n\nc"),
+        ("\n\na", "a"),
+        ("x NOTE: Link is provided\nNOTE: links are provided for you\ny", "x NOTE: Link is provided\ny"),
+        ("** RESERVED ** All rights reserved.", "** RESERVED ** All rights reserved."),
+        ("a\r\nb\r\n", "a\nb"),
+        ("", ""),
+    ]
+    got = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(cases)], "i int, a string, b string").withColumn("got", hygiene.strip_boilerplate(F.col("a"))).orderBy("i").collect()
+    assert [r.got for r in got] == [r.b for r in got]
+
+
+def test_recency_detector(spark):
+    yes = ["latest guidance on x", "newest kernel exploit", "recent CVE for nginx", "is it still exploited", "as of today what is open", "what came this week", "2026 vulnerabilities in chrome", "patch list of 2026", "current mitigation"]
+    no = ["recent changes", "today we saw it", "CVE-2026-12345 details", "history of the vulnerability", "the latest", "last month's news", "current a b c d e f g exploit", "published in 2026"]
+    got = spark.createDataFrame([(t,) for t in yes + no], "t string").select(temporal.policy(F.col("t")).alias("p")).collect()
+    assert [r.p for r in got] == ["medium"] * len(yes) + ["off"] * len(no)
+
+
+def test_captions(spark):
+    kinds = ["image", "paragraph", "image", "paragraph", "paragraph", "image"]
+    texts = ["", "Figure 1 one", "", "fig. 2 two", "Table 3", ""]
+    e = spark.createDataFrame([(1, i, k, 0, t) for i, (k, t) in enumerate(zip(kinds, texts))], "doc_id long, pos long, kind string, depth long, text string")
+    got = {r.pos: (r.caption_id, r.image_id) for r in D.captions(e).collect()}
+    assert got == {0: ("el-1", None), 1: (None, "el-0"), 2: ("el-3", None), 3: (None, "el-2"), 4: (None, "el-5"), 5: ("el-4", None)}
+    for t, want in (("Figure 12: x", True), ("figure 3", True), ("Figures 1", False), ("Fig.1", False), ("  PLATE 9", True), ("table x", False)):
+        assert spark.range(1).select(D.is_caption(F.lit(t))).first()[0] == want
+
+
+def test_languages(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars >= 200 AND lang IN ('en', 'de', 'fr', 'es')")
+    r = d.select((language.detect(F.col("text"))["language"] == F.col("lang")).alias("ok")).agg(F.avg(F.col("ok").cast("int"))).first()[0]
+    assert r > 0.9
+    t = [("Это текст на русском языке", "ru"), ("これは日本語のテキストです", "ja"), ("这是中文文本", "zh"), ("한국어 텍스트", "ko"), ("", None), ("xyzzy", None)]
+    got = spark.createDataFrame([(a,) for a, _ in t], "t string").select(language.detect(F.col("t"))["language"].alias("l")).collect()
+    assert [x.l for x in got] == [b for _, b in t]
+    f = spark.createDataFrame([("der Hund und die Katze sind in das Haus von den Leuten",), ("short",), ("the dog and the cat are in the house of the people",), (None,)], "t string")
+    assert [x.f for x in f.select(language.filtered(F.col("t")).alias("f")).collect()] == ["", "short", "the dog and the cat are in the house of the people", None]
+    assert f.select(language.filtered(F.col("t"), policy="flag").alias("f")).first().f.startswith("der")
+
+
+def test_rendering_kinds(spark):
+    rows = [("code", 0, "x <y", {"language": "py"}), ("list_item", 0, "a", {}), ("list_item", 0, "b", {}), ("image", 0, "i.png", {"alt": "pic"}), ("quote", 0, "q\nr", {}), ("horizontal_rule", 0, "", {}), ("form_field", 0, "v", {"field_name": "n", "field_type": "t"}), ("footnote", 0, "f", {"reference_id": "1"}), ("table", 0, "| a | b |\n| --- | --- |\n| 1 | <2 |", {}), ("heading", 7, "h", {})]
+    e = spark.createDataFrame([(1, i, k, d, t, a) for i, (k, d, t, a) in enumerate(rows)], "doc_id long, pos long, kind string, depth long, text string, attrs map<string,string>")
+    titles = spark.createDataFrame([(1, "T")], "doc_id long, title string")
+    assert rendering.to_markdown(e, titles).first().markdown == "# T\n\n```py\nx <y\n```\n\n- a\n- b\n![pic](i.png)\n\n> q\n> r\n\n---\n\n**n** (t): v\n\n[^1]: f\n\n| a | b |\n| --- | --- |\n| 1 | <2 |\n\n######## h"
+    html = rendering.to_html(e).first().html.split("\n")
+    assert html[3] == '<pre><code class="py">x &lt;y</code></pre>' and '<img src="i.png" alt="pic">' in html and "<dl><dt>n (t)</dt><dd>v</dd></dl>" in html
+    assert "<tr><th>a</th><th>b</th></tr>" in html and "<tr><td>1</td><td>&lt;2</td></tr>" in html and "<h6>h</h6>" in html and html[-2:] == ["</body>", "</html>"]
+    c = spark.createDataFrame([(1, 0, "S", "x"), (1, 1, None, 'y "q"')], "doc_id long, chunk_index long, section string, text string")
+    assert rendering.render_chunks(c, "markdown").first().rendered == '## S\n\nx\n\n---\n\ny "q"\n\n---'
+    assert rendering.render_chunks(c, "html").first().rendered == '<h2>S</h2>\n<p>x</p>\n<hr>\n<p>y "q"</p>\n<hr>'
+    assert rendering.render_chunks(c, "json").first().rendered.split("\n")[1] == '{"index":1,"char_count":5,"section":null,"text":"y \\"q\\""}'
+    assert rendering.render_chunks(c, "text").first().rendered == 'x\n\ny "q"'
