@@ -8,7 +8,9 @@ averaged network, weighted by tokens, is what scores.
 
 A word in a bucket has the bucket's probability times its share of the bucket's count over all documents. Every word that
 occurs RARE times or more has its own share; the rarer ones of a bucket, and one unseen word, divide theirs evenly, so the
-probabilities of all words have the sum 1. The network has a fixed size; the table of shares grows with the corpus.
+probabilities of all words have the sum 1. The network has a fixed size; the table of shares grows with the corpus: up to
+SENT words it is sent to the executors, beyond that the words of the documents are joined to it by their hashes, counted by
+document first. Both give the same scores.
 
 Words: lower-cased A-Z, digits, and any byte from 0x80. Null, empty or wordless text: no tokens, score 0, mean null.
 Repeated rows: one row each. Very long texts: whole. Empty table: empty result. Extra columns are not read.
@@ -34,6 +36,8 @@ SHAPES = {"e": (2 * SPAN, VOCABULARY, DIM), "b": (DIM,), "c": (DIM, SIDE), "cb":
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 BLOCK = 4096
 RARE = 20
+#: Most words whose shares are sent to every executor (16 bytes each in a worker).
+SENT = 4_000_000
 
 
 def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -240,6 +244,29 @@ def _texts(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*keep, t.alias("t"), F.octet_length(t).alias("b"))
 
 
+def _own_shares(docs: DataFrame, counted: DataFrame, words: list[str], buckets: np.ndarray, rare: np.ndarray) -> DataFrame:
+    """(doc_id, th, more): by how much the own shares of a document's words exceed the even share of their buckets' rare words, summed."""
+    top = _lookup(words)[0]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, texts in _slices(b, 2):
+                low = [t.encode().translate(_LOW) for t in texts]
+                s, _, h = words_of(b"\n".join(low))
+                doc = np.searchsorted(np.cumsum([0, *[len(x) + 1 for x in low]]), s, "right") - 1
+                other = ~np.isin(h, top)
+                pair = np.rec.fromarrays([doc[other], h[other]], names="d,h")
+                found, n = np.unique(pair, return_counts=True)
+                take = pa.array(found["d"].astype(np.int64) + at)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(np.ascontiguousarray(found["h"]).view(np.int64)), pa.array(n.astype(np.int64))], names=["doc_id", "th", "h", "c"])
+
+    said = _texts(docs, "doc_id", "th").select("doc_id", "th", "t", "b").mapInArrow(run, f"doc_id {kind}, th long, h long, c long")
+    sizes = docs.sparkSession.createDataFrame([(i, float(np.log(b[0] + 1)), float(r)) for i, (b, r) in enumerate(zip(buckets, rare))], "bucket long, total double, even double")  # BUCKETS rows
+    own = _hashed(counted.where(F.col("n") >= RARE), words).join(F.broadcast(sizes), "bucket").select("h", (F.log("n") - F.col("total") - F.col("even")).alias("more"))
+    return said.join(own, "h").groupBy("doc_id", "th").agg(F.sum(F.col("c") * F.col("more")).alias("more"))
+
+
 def score(docs: DataFrame, words: list[str], network: np.ndarray, doc_id: str = "doc_id", share: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """(doc_id, n_tokens, log_prob, mean_log_prob); without `share`, what shares() returns, a word counts as its bucket."""
     hashes, number = _lookup(words)
@@ -274,7 +301,17 @@ def score(docs: DataFrame, words: list[str], network: np.ndarray, doc_id: str =
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     counted = word_counts(docs)
     words, counts, buckets = _vocabulary(counted)
-    return score(docs, words, train(docs, words, counts), share=shares(counted, words, buckets))
+    network = train(docs, words, counts)
+    if counted.where(F.col("n") >= RARE).count() <= SENT:
+        return score(docs, words, network, share=shares(counted, words, buckets))
+    rare = np.log((buckets[:, 1] + 1) / ((buckets[:, 2] + 1) * (buckets[:, 0] + 1))).astype(np.float32)
+    d = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    base = score(d.select(F.struct("doc_id", "th").alias("doc_id"), "text"), words, network, share=(np.zeros(0, np.uint64), np.zeros(0, np.float32), rare))
+    base = base.select("doc_id.doc_id", "doc_id.th", "n_tokens", "log_prob")
+    # rows of one id and text are counted together, so their sum is shared out
+    more = cut(_own_shares(d, counted, words, buckets, rare).join(d.groupBy("doc_id", "th").agg(F.count("*").alias("k")).select(F.col("doc_id").alias("_i"), F.col("th").alias("_t"), "k"), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t"))).select("_i", "_t", (F.col("more") / F.col("k")).alias("more")))
+    j = base.join(more, base.doc_id.eqNullSafe(more["_i"]) & (base.th == more["_t"]), "left")
+    return j.select("doc_id", "n_tokens", (F.col("log_prob") + F.coalesce("more", F.lit(0.0))).alias("log_prob")).withColumn("mean_log_prob", F.expr("try_divide(log_prob, n_tokens)"))
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

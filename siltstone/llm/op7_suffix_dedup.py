@@ -12,6 +12,9 @@ Groups reach the task through Spark's external sort, which spills to disk, and a
 A group above GROUP segments is not gathered: its windows are counted by their digests (128 bits of BLAKE2) over the whole
 cluster. Segments are told apart by anchor and digest (64 bits each).
 
+external_induction.py has the form with disk-backed queues and recursion; the README has what it costs, and why it is not
+the one that runs.
+
 Null text: empty. Texts shorter than the window: nothing removed. Matches never cross documents. Repeated rows: each is
 the other's copy. Rows with the same id and text give the same result. Empty table: empty result. Extra columns are not
 read.

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from siltstone.llm import common, op1_license_scan, op2_quality_classifier, op3_decontamination, op4_url_filters, op5_line_dedup, op6_lm_scoring, op7_suffix_dedup, op8_simhash, op9_quality_rules, op10_sentencepiece
+from siltstone.llm import common, external_induction, op1_license_scan, op2_quality_classifier, op3_decontamination, op4_url_filters, op5_line_dedup, op6_lm_scoring, op7_suffix_dedup, op8_simhash, op9_quality_rules, op10_sentencepiece
 from siltstone.llm.queries import QUERIES, oracle_sql
 
 SF = "/root/testdata/sf0.001"
@@ -428,3 +428,49 @@ def test_simhash_ids_of_other_types_and_clashing_names(spark):
         assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == ids and kept.where("_gone = 1 AND _k = 2").count() == 2
     out = op5_line_dedup.remove_lines(docs)
     assert out.columns == docs.columns and out.where("_keep = 3 AND _i = 4").count() == 4
+
+
+def test_shares_by_join_are_the_shares_sent(spark, monkeypatch):
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = d.unionByName(d.where("doc_id < 5")).unionByName(d.where("doc_id = 7").select(F.lit(None).cast("long").alias("doc_id"), "text"))
+    rows = lambda x: sorted(((r.doc_id, r.n_tokens, r.log_prob) for r in x.collect()), key=lambda t: (t[0] is None, t))
+    sent = rows(op6_lm_scoring.pseudo_likelihood(docs))
+    monkeypatch.setattr(op6_lm_scoring, "SENT", 0)
+    joined = rows(op6_lm_scoring.pseudo_likelihood(docs))
+    assert [x[:2] for x in sent] == [x[:2] for x in joined] and np.allclose([x[2] for x in sent], [x[2] for x in joined], rtol=1e-4, atol=1e-2)
+
+
+def test_external_induction_by_hand():
+    """Order and common prefixes against sorted suffixes, with queues that hold a few entries in memory, and with recursion."""
+    rng = np.random.default_rng(0)
+    for i in range(150):
+        b = bytes(rng.integers(1, int(rng.integers(2, 5)), int(rng.integers(0, 60))).tolist()) * (1 + i % 2)
+        places, prefixes = external_induction.suffixes(np.frombuffer(b, np.uint8), limit=int(rng.integers(1, 8)))
+        order = sorted(range(len(b)), key=lambda k: b[k:])
+        common_ = [0] + [next((m for m, (x, y) in enumerate(zip(b[p:], b[q:])) if x != y), min(len(b) - p, len(b) - q)) for p, q in zip(order, order[1:])]
+        assert places.tolist() == order and prefixes.tolist() == common_[: len(b)]
+
+
+def test_odd_inputs_give_their_values(spark, odd):
+    """Nulls, empty, blank, long and repeated texts: what each operator says of them."""
+    by = lambda x, *c: sorted(((r.doc_id, *(r[k] for k in c)) for r in x.collect()), key=lambda t: (t[0] is None, t[0] or 0, str(t[1:])))
+    line = "a rather long line that is here more than once in this table of texts"
+    assert [x[1:] for x in by(op1_license_scan.paragraphs(odd), "n_paragraphs", "n_candidates", "licences")] == [(0, 0, []), (0, 0, []), (0, 0, []), (1, 0, []), (1, 0, []), (1, 0, []), (2, 0, []), (0, 0, []), (1, 0, [])]
+    licence = spark.createDataFrame([(1, "x " * 20_000 + "released under the mit license", "kept")], "doc_id long, text string, _p string")
+    r = op1_license_scan.paragraphs(licence).first()
+    assert r.n_paragraphs == 1 and [x.family for x in r.licences] == ["mit"]
+    spans = by(op7_suffix_dedup.repeated_spans(odd), "n_bytes", "n_removed", "n_spans")
+    assert [x for x in spans if x[0] in (1, 2)] == [(1, 0, 0, 0), (2, 0, 0, 0)] and {x for x in spans if x[0] in (4, 5)} == {(4, 200_000, 200_000, 1), (5, 200_000, 200_000, 1)}
+    near = {(r.doc_id, r.component_id) for r in op8_simhash.near_duplicates(odd).collect()}
+    assert {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (None, 1)} <= near
+    tokens = by(op10_sentencepiece.encode_decode(odd), "n_tokens", "decoded_equal")
+    assert tokens[0] == (1, 0, True) and tokens[1] == (2, 0, True) and all(x[2] for x in tokens) and tokens[3][1] == tokens[4][1] > 30_000
+    scores = by(op6_lm_scoring.pseudo_likelihood(odd), "n_tokens", "log_prob", "mean_log_prob")
+    assert scores[0] == (1, 0, 0.0, None) and scores[2] == (3, 0, 0.0, None) and scores[3][1] == 30_001 and scores[3][2] < 0 and scores[4][1:] == scores[5][1:]
+    judged = by(op2_quality_classifier.classify(odd, spark.createDataFrame([], "doc_id long, quality int, toxic int")), "evidence", "kept")
+    assert {x[1] for x in judged} == {0.5} and all(x[2] for x in judged) and len(judged) == 9
+    bench = spark.createDataFrame([(1, line), (2, None), (None, "word word")], "item_id long, text string")
+    hits = by(op3_decontamination.locate(odd, bench), "_match")
+    assert [(d, m.n_words, m.n_hit, list(m["items"])) for d, m in hits if d in (1, 2, 4)] == [(1, 0, 0, []), (2, 0, 0, []), (4, 30_001, 30_000, [])] and next(m for d, m in hits if d == 7).n_hit == 27
+    rules = by(op9_quality_rules.judge(odd), "n_words", "n_repeat_words", "base_failed", "kept")
+    assert rules[0] == (1, 0, 0, True, False) and rules[3][:4] == (4, 30_001, 30_000, True)
