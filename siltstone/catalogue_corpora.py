@@ -59,11 +59,11 @@ def metadata_precedence(spark, sf):
 # --- records
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS external_id, lang || chr(10) || chr(10) || source AS text, 'numeric' AS kind, CAST(n_chars AS DOUBLE) AS number, [source] AS sources FROM documents")
+@query("SELECT CAST(doc_id AS VARCHAR) AS external_id, lang || chr(10) || chr(10) || source AS text, 'numeric' AS kind, CAST(n_chars AS DOUBLE) AS number, source AS sources FROM documents")
 def jsonl_records(spark, sf):
     lines = _t(spark, sf, "documents").select(F.to_json(F.struct(F.col("doc_id").alias("id"), "lang", "source", "n_chars")).alias("value"))
     r = feeds.records(lines, feeds.RecordConfig(text_fields=("lang", "n_chars", "source", "none"), metadata_fields=("n_chars", "source", "none"), array_fields=("source",)))
-    return r.select("external_id", "text", F.col("metadata")["n_chars"]["kind"].alias("kind"), F.col("metadata")["n_chars"]["number"].alias("number"), F.col("metadata")["source"]["items"].alias("sources"))
+    return r.select("external_id", "text", F.col("metadata")["n_chars"]["kind"].alias("kind"), F.col("metadata")["n_chars"]["number"].alias("number"), F.array_join(F.col("metadata")["source"]["items"], " ").alias("sources"))
 
 
 @query("SELECT * FROM (VALUES ('n_chars', 'numeric'), ('lang', 'string'), ('source', 'array'), ('seen', 'bool')) t(field, kind)")
@@ -73,11 +73,11 @@ def jsonl_field_kinds(spark, sf):
     return feeds.field_kinds(feeds.records(lines, config), config)
 
 
-@query("SELECT 'CVE-2024-' || doc_id AS external_id, lang || chr(10) || chr(10) || text AS text, 7.5::DOUBLE AS score, DATE '2024-05-01' AS due FROM documents")
+@query("SELECT 'CVE-2024-' || doc_id AS external_id, lang || chr(10) || chr(10) || text AS text, 7.5::DOUBLE AS score, '2024-05-01' AS due FROM documents")
 def jsonl_preset(spark, sf):
     lines = _t(spark, sf, "documents").select(F.to_json(F.struct(F.concat(F.lit("CVE-2024-"), "doc_id").alias("id"), F.col("lang").alias("title"), F.col("text").alias("description"), F.lit(7.5).alias("cvss_score"), F.lit("2024-05-01").alias("remediation_due"))).alias("value"))
     r = feeds.records(lines, feeds.PRESETS["finding"])
-    return r.select("external_id", "text", F.col("metadata")["cvss_score"]["number"].alias("score"), F.col("metadata")["remediation_due"]["date"].alias("due"))
+    return r.select("external_id", "text", F.col("metadata")["cvss_score"]["number"].alias("score"), F.col("metadata")["remediation_due"]["date"].cast("string").alias("due"))
 
 
 @query("SELECT 'CVE-2023-' || doc_id AS id, 'Analyzed' AS status, CAST(2023 AS INTEGER) AS year, 'HIGH' AS severity, 'acme' AS vendor, source AS product, CASE WHEN doc_id % 2 = 0 THEN 'es' ELSE 'en' END AS lang, CASE WHEN doc_id % 2 = 0 THEN text || chr(10) || chr(10) || 'x' ELSE text END AS text, 'nvd' AS source FROM documents WHERE text <> ''")
@@ -207,9 +207,10 @@ def pdf_scanned(spark, sf):
 # --- retrieval
 
 
-@query("SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: round(x / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y))), 9)) AS v FROM embeddings")
+@query("SELECT vec_id, round(embedding[1]::DOUBLE / n, 9) AS first, round(embedding[64]::DOUBLE / n, 9) AS last, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0 END AS norm FROM (SELECT *, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y))) AS n FROM embeddings)")
 def vectors_normalized(spark, sf):
-    return _t(spark, sf, "embeddings").select("vec_id", F.transform(retrieval.normalize("embedding"), lambda x: F.round(x, 9)).alias("v"))
+    v = _t(spark, sf, "embeddings").select("vec_id", retrieval.normalize("embedding").alias("v"))
+    return v.select("vec_id", F.round(F.col("v")[0], 9).alias("first"), F.round(F.col("v")[63], 9).alias("last"), F.round(F.sqrt(retrieval.dot("v", "v")), 9).alias("norm"))
 
 
 @query()
@@ -296,10 +297,10 @@ def field_projection(spark, sf):
     return a.unionByName(b)
 
 
-@query("SELECT doc_id, list_transform(list_concat(regexp_extract_all(t, '(?i)\\b(CVE-[0-9]{4}-[0-9]{4,})\\b', 1), regexp_extract_all(t, '(?i)\\b(CWE-[0-9]+)\\b', 1)), lambda x: upper(x)) AS ids FROM (SELECT doc_id, text || ' cwe-79, cve-2024-' || (1000 + doc_id) || ' and CVE-1-2' AS t FROM documents)")
+@query("SELECT doc_id, array_to_string(list_transform(list_concat(regexp_extract_all(t, '(?i)\\b(CVE-[0-9]{4}-[0-9]{4,})\\b', 1), regexp_extract_all(t, '(?i)\\b(CWE-[0-9]+)\\b', 1)), lambda x: upper(x)), ' ') AS ids FROM (SELECT doc_id, text || ' cwe-79, cve-2024-' || (1000 + doc_id) || ' and CVE-1-2' AS t FROM documents)")
 def identifiers(spark, sf):
     d = _t(spark, sf, "documents").select("doc_id", F.concat("text", F.lit(" cwe-79, cve-2024-"), F.col("doc_id") + 1000, F.lit(" and CVE-1-2")).alias("t"))
-    return d.select("doc_id", retrieval.identifiers("t").alias("ids"))
+    return d.select("doc_id", F.array_join(retrieval.identifiers("t"), " ").alias("ids"))
 
 
 @query("SELECT * FROM (VALUES ('a', '/x', true), ('default', '/y/z', false)) t(name, path, loaded)")
@@ -376,17 +377,17 @@ def filter_builder(spark, sf):
 # --- taxonomies
 
 
-@query(f"WITH {_EDGES}, n AS (SELECT child AS node FROM edges UNION SELECT parent FROM edges) SELECT CAST(node AS BIGINT) AS node, coalesce(list(CAST(parent AS BIGINT) ORDER BY parent) FILTER (parent IS NOT NULL), []) AS parents FROM n LEFT JOIN edges ON child = node GROUP BY node")
+@query(f"WITH {_EDGES}, n AS (SELECT child AS node FROM edges UNION SELECT parent FROM edges) SELECT CAST(node AS BIGINT) AS node, coalesce(string_agg(CAST(parent AS BIGINT), ' ' ORDER BY parent) FILTER (parent IS NOT NULL), '') AS parents FROM n LEFT JOIN edges ON child = node GROUP BY node")
 def taxonomy_parents(spark, sf):
-    return taxonomy.parents(_edges(spark, sf))
+    return taxonomy.parents(_edges(spark, sf)).withColumn("parents", F.array_join(F.col("parents").cast("array<string>"), " "))
 
 
 _CLOSED = f"WITH RECURSIVE {_EDGES}, c AS (SELECT DISTINCT CAST(parent AS BIGINT) AS a, CAST(child AS BIGINT) AS d FROM edges UNION SELECT c.a, CAST(e.child AS BIGINT) FROM c JOIN edges e ON e.parent = c.d)"
 
 
-@query(f"{_CLOSED} SELECT CAST(n.node AS BIGINT) AS node, list_concat([CAST(n.node AS BIGINT)], coalesce(list(d ORDER BY d) FILTER (d IS NOT NULL), [])) AS descendants FROM (SELECT child AS node FROM edges UNION SELECT parent FROM edges) n LEFT JOIN c ON c.a = n.node GROUP BY n.node")
+@query(f"{_CLOSED} SELECT CAST(n.node AS BIGINT) AS node, concat_ws(' ', CAST(n.node AS VARCHAR), string_agg(d, ' ' ORDER BY d) FILTER (d IS NOT NULL)) AS descendants FROM (SELECT child AS node FROM edges UNION SELECT parent FROM edges) n LEFT JOIN c ON c.a = n.node GROUP BY n.node")
 def taxonomy_expand(spark, sf):
-    return taxonomy.closure_lists(_edges(spark, sf))
+    return taxonomy.closure_lists(_edges(spark, sf)).withColumn("descendants", F.array_join(F.col("descendants").cast("array<string>"), " "))
 
 
 @query(f"{_CLOSED} SELECT d AS node, a AS related, 'ancestor' AS relation FROM c WHERE d BETWEEN 100 AND 110 UNION ALL SELECT a, d, 'descendant' FROM c WHERE a BETWEEN 100 AND 110")
@@ -406,7 +407,7 @@ def gold_faults(spark, sf):
 
 _GOLD = f"""WITH {_BM25}, r AS ({_TOP.format('sc', 10)}), h AS (SELECT r.query_id AS id, rank, lower(d.text) AS low FROM r JOIN documents d ON d.doc_id = r.id),
 n AS (SELECT item_id AS id, unnest(['the', 'Of', substr(text, 1, 12)]) AS what FROM benchmark WHERE item_id % 50 = 0), s AS (SELECT n.id, what, min(rank) FILTER (contains(low, lower(what))) AS pos FROM n LEFT JOIN h USING (id) GROUP BY ALL),
-g AS (SELECT id, CASE WHEN count(*) FILTER (pos IS NULL) = 0 THEN max(pos) END AS pos, coalesce(list(what ORDER BY what) FILTER (pos IS NULL), []) AS missing FROM s GROUP BY id)"""
+g AS (SELECT id, CASE WHEN count(*) FILTER (pos IS NULL) = 0 THEN max(pos) END AS pos, coalesce(string_agg(what, '|' ORDER BY what) FILTER (pos IS NULL), '') AS missing FROM s GROUP BY id)"""
 
 
 @query(f"{_GOLD} SELECT id, coalesce(pos <= 1, false) AS hit_1, coalesce(pos <= 5, false) AS hit_5, coalesce(pos <= 10, false) AS hit_10, coalesce(1.0::DOUBLE / pos, 0) AS reciprocal_rank, missing FROM g")
@@ -414,7 +415,7 @@ def gold_entries(spark, sf):
     q, d = _questions(spark, sf)
     hits = retrieval.bm25(q, d, 10).join(d, "id").select(F.col("query_id").alias("id"), "rank", "text")
     gold = q.select(F.col("query_id").alias("id"), F.array().cast("array<string>").alias("must_contain_cve_ids"), F.array(F.lit("the"), F.lit("Of"), F.substring("text", 1, 12)).alias("must_contain_terms"))
-    return evaluation.gold_entries(hits, gold)
+    return evaluation.gold_entries(hits, gold).withColumn("missing", F.array_join("missing", "|"))
 
 
 _VARIANTS = ["primary", "no_rerank", "no_contextual", "dense_only", "temporal_auto", "temporal_oracle"]
