@@ -9,8 +9,8 @@ Sorting: the suffixes of a group's segments are induced from right to left. The
 behind it, stably dealt by the byte before, and the common prefix of two neighbours is one more than the least common
 prefix between them one place on. The tuples (group, byte, rank, common prefix) of many groups are carried together.
 Groups reach the task through Spark's external sort, which spills to disk, and a batch of groups is all that is held.
-A group above GROUP segments is not gathered: its windows are counted by their digests (128 bits of BLAKE2) over the whole
-cluster. Segments are told apart by anchor and digest (64 bits each).
+A group above GROUP segments is not gathered: its windows are counted by their digests over the whole cluster. Segments,
+and the windows of such a group, are told apart by anchor and digest (64 bits of BLAKE2 each).
 
 external_induction.py has the form with disk-backed queues and recursion; the README has what it costs, and why it is not
 the one that runs.
@@ -223,7 +223,7 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments of hot anchors -> a row a window: (anchor, sh, off, wh, n), wh being a 128-bit digest of the window."""
+    """Segments of hot anchors -> a row a window: (anchor, sh, off, wh, n), wh being a 64-bit digest of the window."""
     for b in batches:
         for r in range(0, b.num_rows, 500):
             part = b.slice(r, 500)
@@ -232,8 +232,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = np.array([len(s) for s in strings]) - WINDOW + 1
             row = np.repeat(np.arange(len(strings)), w)
             off = np.arange(len(row)) - np.repeat(np.cumsum(w) - w, w)
-            wh = [hashlib.blake2b(s[k : k + WINDOW], digest_size=16).digest() for s in strings for k in range(len(s) - WINDOW + 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[row]), pa.array(sh[row]), pa.array(off.astype(np.int32)), pa.array(wh, pa.binary()), pa.array(n[row])], names=["anchor", "sh", "off", "wh", "n"])
+            wh = np.frombuffer(b"".join([hashlib.blake2b(s[k : k + WINDOW], digest_size=8).digest() for s in strings for k in range(len(s) - WINDOW + 1)]), "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[row]), pa.array(sh[row]), pa.array(off.astype(np.int32)), pa.array(wh), pa.array(n[row])], names=["anchor", "sh", "off", "wh", "n"])
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +291,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     plain = fetched.where("NOT hot").drop("hot").repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_groups, "anchor long, sh long, offs array<int>")
     marks = plain
     if fetched.where("hot").limit(1).count():
-        w = fetched.where("hot").drop("hot").mapInArrow(_windows, "anchor long, sh long, off int, wh binary, n long")
+        w = fetched.where("hot").drop("hot").mapInArrow(_windows, "anchor long, sh long, off int, wh long, n long")
         twice = w.groupBy("anchor", "wh").agg(F.sum("n").alias("c")).where("c > 1").drop("c")
         marks = marks.unionByName(w.where("n = 1").join(twice, ["anchor", "wh"], "left_semi").groupBy("anchor", "sh").agg(F.collect_list("off").alias("offs")))
     whole = distinct.where("n > 1").select("anchor", "sh", F.lit(True).alias("whole"), F.array().cast("array<int>").alias("offs"))
