@@ -474,3 +474,37 @@ def test_odd_inputs_give_their_values(spark, odd):
     assert [(d, m.n_words, m.n_hit, list(m["items"])) for d, m in hits if d in (1, 2, 4)] == [(1, 0, 0, []), (2, 0, 0, []), (4, 30_001, 30_000, [])] and next(m for d, m in hits if d == 7).n_hit == 27
     rules = by(op9_quality_rules.judge(odd), "n_words", "n_repeat_words", "base_failed", "kept")
     assert rules[0] == (1, 0, 0, True, False) and rules[3][:4] == (4, 30_001, 30_000, True)
+
+
+@pytest.mark.parametrize("errors", [1, 2, 3])
+def test_line_links_of_any_threshold(spark, monkeypatch, errors):
+    """Lines that go for a near line before them, against all pairs by the plain edit distance."""
+    rng = np.random.default_rng(errors)
+    base = ["".join(rng.choice(list("abcd é"), 40)) for _ in range(12)]
+    lines = list(base)
+    for x in base * 6:
+        y = list(x)
+        for _ in range(rng.integers(0, errors + 2)):
+            k, what = int(rng.integers(0, len(y))), int(rng.integers(0, 3))
+            if what == 0:
+                del y[k]
+            elif what == 1:
+                y.insert(k, "z")
+            else:
+                y[k] = "q"
+        lines.append("".join(y))
+    lines = list(dict.fromkeys(x + "." for x in lines))
+
+    def ed(a, b):
+        p = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            q = [i + 1]
+            for j, y in enumerate(b):
+                q.append(min(p[j] + (x != y), p[j + 1] + 1, q[j] + 1))
+            p = q
+        return p[-1]
+
+    want = {i for i, x in enumerate(lines) if any(min(len(x), len(y)) >= 32 and ed(x, y) <= errors for y in lines[:i])}
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id for r in op5_line_dedup.remove_lines(docs, errors).where("text = ''").collect()}
+    assert len(want) > 20 and got == want
