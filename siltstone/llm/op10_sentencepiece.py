@@ -259,7 +259,7 @@ def _digests(encoder: AgendaEncoder, texts: pa.Array) -> Iterator[tuple[int, str
         at = stop
 
 
-def encode_decode(docs: DataFrame, model: str = MODEL, text: str = "text", keep: list[str] | None = None, part_bytes: int = 8_000_000) -> DataFrame:
+def encode_decode(docs: DataFrame, model: str = MODEL, text: str = "text", keep: list[str] | None = None, part_bytes: int = 2_000_000) -> DataFrame:
     """keep's columns (default doc_id) with ids ARRAY<INT>-free digests: n_tokens, ids_sha256, decoded_sha256, and decoded_equal (the text came back but for literal space marks)."""
     keep = keep or ["doc_id"]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_equal boolean"
