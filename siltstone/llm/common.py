@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +74,15 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def release() -> None:
+    """Gives memory back to the system that a Python worker, kept for later tasks, would hold. Best effort."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def ascii_lower(c):
     return F.translate(c, UPPER, LOWER)
 
@@ -90,7 +101,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: each neighbour above u hangs on the least node about u
         big = e.join(low, e.a == low.u).select(F.col("m").alias("a"), F.col("b"))
-        big = cut(big.where("a <> b").distinct())
+        big = big.where("a <> b").distinct()  # read twice below; cheaper than another table on disk
         # small star: u and its lower neighbours hang on the least of them
         small_low = big.groupBy("b").agg(F.min("a").alias("m"))
         j = big.join(small_low, "b")

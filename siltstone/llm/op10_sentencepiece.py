@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import release, table
 
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -276,6 +276,7 @@ def encode_decode(docs: DataFrame, model: str = MODEL, text: str = "text", keep:
                 made = [pa.array(x, t) for x, t in zip(found, (pa.int64(), pa.string(), pa.string(), pa.bool_()))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, stop - at) for i in range(len(keep))), *made], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256", "decoded_equal"])
                 at = stop
+        release()
 
     return docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(run, schema)
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import release, table
 
 WINDOW = 10
 SHARD_BYTES = 4_000_000
@@ -238,6 +238,7 @@ def locate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: s
                 found = [dict(zip(("n_words", "n_hit", "items", "spans", "longest"), x)) for x in _shard(blocks, texts.slice(begin, stop - begin).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(keep))], pa.array(found, _RESULT)], names=[*keep, "_match"])
                 begin = stop
+        release()
 
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("_match", RESULT)])
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text), F.lit("")).alias(at), F.octet_length(F.coalesce(F.col(text), F.lit(""))).alias(at + "_n")).mapInArrow(run, schema)

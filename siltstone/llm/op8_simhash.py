@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, components, cut, table
+from .common import ascii_lower, components, cut, release, table
 
 RADIUS, PIVOTS, BUCKET = 3, 32, 1024
 
@@ -36,17 +36,20 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Hashes whose bits are unpacked at a time, 64 bytes each.
+UNPACKED = 50_000
+
+
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         lists = b.column(1)
-        ends = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        out, at, base = np.zeros(b.num_rows, np.uint64), 0, 0
+        sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        ends = np.cumsum(sizes)
+        out, at = np.zeros(b.num_rows, np.uint64), 0
         while at < b.num_rows:
-            stop = at + max(1, int(np.searchsorted(np.cumsum(ends[at:]), 200_000)))
-            n = ends[at:stop]
-            part = flat[base : base + n.sum()]
-            base += n.sum()
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + UNPACKED)))
+            n = sizes[at:stop]
+            part = lists.slice(at, stop - at).flatten().to_numpy(zero_copy_only=False)
             full = n > 0
             if full.any():
                 ones = np.unpackbits(np.ascontiguousarray(part).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -56,6 +59,7 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out[at:stop][full] = np.ascontiguousarray(major).view(np.uint64).ravel()
             at = stop
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out.view(np.int64), pa.int64())], names=["doc_id", "fp"])
+    release()
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -161,7 +165,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     found = cut(fingerprints(docs, text, doc_id))
     fps = cut(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(fps.select("fp", F.col("fp").alias("node"))))
-    linked = cut(fps.join(roots, fps.fp == roots.node).select("fp", "root", "first"))
+    linked = cut(fps.join(roots, fps.fp == roots.node).select("fp", "root", "first"))  # a table whose size is known, so that it is broadcast where it may be
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     of = fps.join(linked.join(least, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     return found.join(of, "fp").select("doc_id", "fp", "component_id")
