@@ -27,15 +27,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop, table
+from .common import cut, drop, release, table
 
 WINDOW, GRAM = 200, 32
 GROUP = 20_000
 SHARD_BYTES = 3_000_000
+PIECE = 1 << 18  # windows whose anchors are looked for together
 ROWS = 20_000  # segments sorted together
+FETCHED = 5_000  # segments sent on together
 _PLACE = np.uint64((1 << 31) - 1)  # no text is longer
 _M = 0x9E3779B97F4A7C15
 _P = 0xD6E8FEB86659FD93
@@ -45,7 +48,7 @@ _powers: list[np.ndarray] = []
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, SHARD_BYTES + (1 << 18))
+        size = max(n, PIECE + WINDOW)
         _powers[:] = [np.concatenate([np.ones(1, np.uint64), np.full(size - 1, m, np.uint64)]).cumprod(dtype=np.uint64) for m in (_P, _INV)]
     return _powers[0][:n], _powers[1][:n]
 
@@ -56,14 +59,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def segment(texts: list[bytes]):
-    """Segments of some documents: document, first window, windows, anchor's place (in the document), anchor."""
-    cat = np.frombuffer(b"".join(texts), np.uint8)
-    lens = np.array([len(t) for t in texts], np.int64)
-    base = np.cumsum(lens) - lens
+def _anchors(cat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each window's anchor, and the hashes of the grams."""
     n = len(cat)
-    if n < WINDOW:
-        return None
     up, down = _power(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((cat.astype(np.uint64) + np.uint64(1)) * np.uint64(_M) * up[:-1], out=sums[1:])
@@ -75,20 +73,38 @@ def segment(texts: list[bytes]):
         have *= 2
     if have < width:
         low = np.minimum(low[: len(low) - (width - have)], low[width - have :])
-    anchor = (low & _PLACE).astype(np.int64)
-    windows = np.maximum(0, lens - WINDOW + 1)
-    total = int(windows.sum())
-    if not total:
+    return (low & _PLACE).astype(np.int64), gram
+
+
+def segment(texts: list[bytes]):
+    """Segments of some documents: document, first window, windows, anchor's place (in the document), anchor.
+
+    PIECE windows at a time, whatever the length of a text; a segment goes on from one piece to the next.
+    """
+    cat = np.frombuffer(b"".join(texts), np.uint8)
+    lens = np.array([len(t) for t in texts], np.int64)
+    end = np.cumsum(lens)
+    total = len(cat) - WINDOW + 1
+    if not (lens >= WINDOW).any():
         return None
-    doc = np.repeat(np.arange(len(texts)), windows)
-    at = np.arange(total) - np.repeat(np.cumsum(windows) - windows, windows) + base[doc]
-    a = anchor[at]
-    new = np.ones(total, bool)
-    new[1:] = (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])
-    first = np.flatnonzero(new)
+    before, found = -1, []  # (place, anchor's place or -1, anchor) where the anchor changes; -1: the window crosses documents
+    for lo in range(0, total, PIECE):
+        hi = min(lo + PIECE, total)
+        at, gram = _anchors(cat[lo : hi + WINDOW - 1])
+        at += lo
+        for e in end[np.searchsorted(end, lo, "right") : np.searchsorted(end, hi + WINDOW)].tolist():
+            at[max(e - WINDOW + 1 - lo, 0) : max(e - lo, 0)] = -1
+        new = np.flatnonzero(np.diff(at, prepend=before))
+        place = at[new]
+        found.append((new + lo, place, np.where(place < 0, np.uint64(0), gram[np.maximum(place - lo, 0)])))
+        before = int(at[-1])
+    first, place, anchor = (np.concatenate(x) for x in zip(*found))
     count = np.diff(np.append(first, total))
-    begin, place, of = at[first], a[first], doc[first]
-    return of, begin - base[of], count, place - base[of], gram[place].view(np.int64)
+    inside = place >= 0
+    first, place, anchor, count = first[inside], place[inside], anchor[inside], count[inside]
+    of = np.searchsorted(end, first, "right")
+    base = (end - lens)[of]
+    return of, first - base, count, place - base, anchor.view(np.int64)
 
 
 def digest(content: bytes) -> int:
@@ -117,29 +133,34 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ends = begin + count - 1 + WINDOW
                 content = np.frombuffer(b"".join([hashlib.blake2b(texts[d][a:e], digest_size=8).digest() for d, a, e in zip(of.tolist(), begin.tolist(), ends.tolist())]), "<i8")
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(idx.astype(np.int32)), pa.array(anchor), pa.array(content)], names=["doc_id", "th", "idx", "anchor", "sh"])
+    release()
+
+
+def _nested(column: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+    """Of a column of lists of structs: where each row's structs begin and end, and the structs' fields."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.append(0, np.cumsum(sizes, dtype=np.int64)), column.flatten().flatten()
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(need list of (idx, n, hot), bytes) -> the needed segments' bytes."""
     for b in batches:
-        needs = b.column(0).to_pylist()
         for at, texts in _parts(b, 1):
             if (s := segment(texts)) is None:
                 continue
             of, begin, count, place, anchor = s
-            firsts = np.searchsorted(of, np.arange(len(texts)))
-            out = []
-            for i, t in enumerate(texts):
-                for x in needs[at + i]:
-                    j = int(firsts[i]) + x["idx"]
-                    content = t[int(begin[j]) : int(begin[j] + count[j]) - 1 + WINDOW]
-                    out.append((int(anchor[j]), digest(content), int(place[j] - begin[j]), content, x["n"], x["hot"]))
-            for k in range(0, len(out), 20_000):
-                cols = list(zip(*out[k : k + 20_000]))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.bool_())], names=["anchor", "sh", "lead", "bytes", "n", "hot"])
-
-
-def induce(group: np.ndarray, lead: np.ndarray, strings: list[bytes], window: int = WINDOW) -> list[tuple[np.ndarray, np.ndarray]]:
+            edge, (idx, n, hot) = _nested(b.column(0).slice(at, len(texts)))
+            doc = np.repeat(np.arange(len(texts)), np.diff(edge))
+            j = np.searchsorted(of, doc) + idx.to_numpy()
+            a, e = begin[j], begin[j] + count[j] - 1 + WINDOW
+            for k in range(0, len(j), FETCHED):
+                here = slice(k, k + FETCHED)
+                content = [texts[d][x:y] for d, x, y in zip(doc[here].tolist(), a[here].tolist(), e[here].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[j[here]]), pa.array([digest(c) for c in content], pa.int64()), pa.array((place[j[here]] - a[here]).astype(np.int32)), pa.array(content, pa.binary()), n.slice(k, FETCHED), hot.slice(k, FETCHED)], names=["anchor", "sh", "lead", "bytes", "n", "hot"])
+    release()
+
+
+def induce(group: np.ndarray, lead: np.ndarray, strings: list[bytes], window: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Repeated windows of aligned strings: (row, first byte in the row) of each window that starts at or before the aligned place and equals another of its group.
 
     group: numbers in order; lead: the aligned place in each string. Suffixes are induced place by place from the right.
@@ -148,14 +169,15 @@ def induce(group: np.ndarray, lead: np.ndarray, strings: list[bytes], window: in
     left = int(lead.max())
     sizes = np.array([len(s) for s in strings])
     width = left + int((sizes - lead).max())
-    grid = np.zeros((width, m), np.int64)
-    flat = np.frombuffer(b"".join(strings), np.uint8)
-    row = np.repeat(np.arange(m), sizes)
-    col = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(left - lead, sizes)
-    grid[col, row] = flat.astype(np.int64) + 1
+    grid = np.zeros((width, m), np.int16)
+    for r in range(0, m, 1_000):
+        n = sizes[r : r + 1_000]
+        flat = np.frombuffer(b"".join(strings[r : r + 1_000]), np.uint8)
+        row = np.repeat(np.arange(len(n)), n)
+        col = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n - (left - lead[r : r + 1_000]), n)
+        grid[col, r + row] = flat.astype(np.int16) + 1
     first, last = left - lead, left - lead + sizes - window  # windows start in between
     order, prefix = np.arange(m), np.zeros(m, np.int64)
-    found = []
     for at in range(width - 1, -1, -1):
         key = (group[order] << 9) | grid[at][order]
         turn = np.argsort(key, kind="stable")
@@ -176,8 +198,7 @@ def induce(group: np.ndarray, lead: np.ndarray, strings: list[bytes], window: in
                 rows = order[twice]
                 rows = rows[(first[rows] <= at) & (at <= last[rows])]
                 if len(rows):
-                    found.append((rows, at - first[rows]))
-    return found
+                    yield rows, at - first[rows]
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,23 +206,21 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     held: list = []
     count = 0
 
-    def flush(cols) -> pa.RecordBatch:
+    def flush(cols) -> Iterator[pa.RecordBatch]:
         anchor, sh, lead, strings, n = cols
         new = np.ones(len(anchor), np.int64)
         new[1:] = anchor[1:] != anchor[:-1]
-        hits = induce(np.cumsum(new), lead, strings)
-        if hits:
-            rows, offs = np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
-            order = np.lexsort((offs, rows))
-            rows, offs = rows[order], offs[order]
-            ok = n[rows] == 1
-            rows, offs = rows[ok], offs[ok]
-        if not hits or not len(rows):
-            return None
-        cutpoints = np.flatnonzero(np.diff(rows)) + 1
-        starts = np.concatenate([[0], cutpoints])
-        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(rows)), pa.int32()), pa.array(offs.astype(np.int32)))
-        return pa.RecordBatch.from_arrays([pa.array(anchor[rows[starts]]), pa.array(sh[rows[starts]]), lists], names=["anchor", "sh", "offs"])
+        hit = np.zeros((len(anchor), int(lead.max()) + 1), bool)
+        for rows, offs in induce(np.cumsum(new), lead, strings):
+            hit[rows, offs] = True
+        hit[n != 1] = False
+        some = np.flatnonzero(hit.any(axis=1))
+        for k in range(0, len(some), FETCHED):
+            at = some[k : k + FETCHED]
+            rows, offs = np.nonzero(hit[at])
+            starts = np.searchsorted(rows, np.arange(len(at) + 1))
+            lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(offs.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[at]), pa.array(sh[at]), lists], names=["anchor", "sh", "offs"])
 
     def columns(bs):
         t = pa.Table.from_batches(bs)
@@ -214,12 +233,15 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             cols = columns(held)
             last = np.flatnonzero(cols[0] != cols[0][-1])
             stop = int(last[-1]) + 1 if len(last) else 0
-            if stop and (r := flush([c[:stop] for c in cols])) is not None:
-                yield r
+            if stop:
+                yield from flush([c[:stop] for c in cols])
+            del cols
             held = [pa.Table.from_batches(held).slice(stop).combine_chunks().to_batches()[0]]
             count = held[0].num_rows
-    if count and (r := flush(columns(held))) is not None:
-        yield r
+    if count:
+        yield from flush(columns(held))
+    held.clear()
+    release()
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,45 +256,45 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             off = np.arange(len(row)) - np.repeat(np.cumsum(w) - w, w)
             wh = np.frombuffer(b"".join([hashlib.blake2b(s[k : k + WINDOW], digest_size=8).digest() for s in strings for k in range(len(s) - WINDOW + 1)]), "<i8")
             yield pa.RecordBatch.from_arrays([pa.array(anchor[row]), pa.array(sh[row]), pa.array(off.astype(np.int32)), pa.array(wh), pa.array(n[row])], names=["anchor", "sh", "off", "wh", "n"])
+    release()
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, list of (idx, whole, offs), bytes) -> the result rows and the removed spans."""
     for b in batches:
-        marks = b.column(1).to_pylist()
-        out = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "spans": []}
         for at, texts in _parts(b, 2):
-            some = [i for i, t in enumerate(texts) if marks[at + i]]
-            s = segment([texts[i] for i in some]) if some else None
-            firsts = np.searchsorted(s[0], np.arange(len(some))) if s else None
-            where = {i: k for k, i in enumerate(some)}
+            edge, (idx, whole, offs) = _nested(b.column(1).slice(at, len(texts)))
+            some = np.flatnonzero(np.diff(edge))
+            sizes, removed, digests, starts, ends = [len(t) for t in texts], [0] * len(texts), [], [], []
+            bound = np.zeros(len(texts) + 1, np.int32)
+            if len(some):
+                of, begin, count, _, _ = segment([texts[i] for i in some])
+                # a mark is one span of a whole segment, or a window at each of its places
+                j = np.searchsorted(of, np.repeat(np.arange(len(some)), np.diff(edge)[some])) + idx.to_numpy()
+                whole, cuts, places = whole.to_numpy(zero_copy_only=False), offs.offsets.to_numpy(), offs.values.to_numpy()
             for i, t in enumerate(texts):
-                spans = []
-                if i in where and s:
-                    cover = np.zeros(len(t) + 1, np.int64)
-                    for x in marks[at + i]:
-                        j = int(firsts[where[i]]) + x["idx"]
-                        begin = int(s[1][j])
-                        if x["whole"]:
-                            cover[begin] += 1
-                            cover[begin + int(s[2][j]) - 1 + WINDOW] -= 1
-                        else:
-                            o = begin + np.array(x["offs"], np.int64)
-                            np.add.at(cover, o, 1)
-                            np.add.at(cover, o + WINDOW, -1)
-                    edge = np.flatnonzero(np.diff(np.cumsum(cover)[:-1] > 0, prepend=False, append=False)).tolist()
-                    spans = list(zip(edge[::2], edge[1::2]))
                 kept, done = hashlib.sha256(), 0
-                for a, e in spans:
-                    kept.update(t[done:a])
-                    done = e
+                if (a := int(edge[i])) < (z := int(edge[i + 1])):
+                    w = np.flatnonzero(whole[a:z]) + a
+                    first = begin[j[a:z]]
+                    lo = np.concatenate([begin[j[w]], places[cuts[a] : cuts[z]] + np.repeat(first, np.diff(cuts[a : z + 1]))])
+                    hi = np.concatenate([begin[j[w]] + count[j[w]] - 1, lo[len(w) :]]) + WINDOW
+                    order = np.argsort(lo)
+                    lo, hi = lo[order], np.maximum.accumulate(hi[order])
+                    new = np.flatnonzero(lo[1:] > hi[:-1]) + 1
+                    lo, hi = lo[np.append(0, new)].tolist(), hi[np.append(new - 1, len(hi) - 1)].tolist()
+                    for x, y in zip(lo, hi):
+                        kept.update(t[done:x])
+                        done = y
+                    removed[i] = sum(hi) - sum(lo)
+                    starts += lo
+                    ends += hi
                 kept.update(t[done:])
-                out["n_bytes"].append(len(t))
-                out["n_removed"].append(sum(e - a for a, e in spans))
-                out["n_spans"].append(len(spans))
-                out["kept_sha256"].append(kept.hexdigest())
-                out["spans"].append([{"start": a, "end": e} for a, e in spans])
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out["n_bytes"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["kept_sha256"], pa.string()), pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["doc_id", *out])
+                digests.append(kept.hexdigest())
+                bound[i + 1] = len(starts)
+            spans = pa.ListArray.from_arrays(pa.array(bound), pa.StructArray.from_arrays([pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["start", "end"]))
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(np.diff(bound).astype(np.int64)), pa.array(digests, pa.string()), spans], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+    release()
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
