@@ -10,28 +10,52 @@ through all stages but the last.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import op3_decontamination, op5_line_dedup, op8_simhash, op9_quality_rules, op10_sentencepiece
-from siltstone.llm.common import remove, scratch, table
+from siltstone.llm.common import give_back, remove, scratch, table
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def sparing(stage: Stage) -> Stage:
+    """The stage, with the driver's freed memory given back before it begins and before its rows are written."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back(spark)
+        rows = stage(spark, docs, sf_dir)
+        give_back(spark)
+        return rows
+
+    return run_stage
 
 
+@sparing
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op9_quality_rules.filter_documents(docs)
 
 
+@sparing
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op5_line_dedup.remove_lines(docs)
 
 
+@sparing
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op8_simhash.keep_one(docs)
 
 
+@sparing
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op3_decontamination.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@sparing
 def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op10_sentencepiece.encode_decode(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 

@@ -41,7 +41,7 @@ _powers: list[np.ndarray] = []
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, SHARD_BYTES + (1 << 16))
+        size = max(n, min(1 << n.bit_length(), SHARD_BYTES + (1 << 16)))  # a shard's in workers; the driver needs a few for the benchmark's words
         _powers[:] = [np.concatenate([np.ones(1, np.uint64), np.full(size - 1, m, np.uint64)]).cumprod(dtype=np.uint64) for m in (_P, _INV)]
     return _powers[0][:n], _powers[1][:n]
 

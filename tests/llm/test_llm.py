@@ -3,6 +3,7 @@ import hashlib
 import math
 import re
 import tracemalloc
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -544,3 +545,46 @@ def test_line_links_of_any_threshold(spark, monkeypatch, errors):
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     got = {r.doc_id for r in op5_line_dedup.remove_lines(docs, errors).where("text = ''").collect()}
     assert len(want) > 20 and got == want
+
+
+def _held_mb(pid):
+    return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text()))) / 1024
+
+
+def test_driver_gives_freed_memory_back(spark):
+    jvm = spark.sparkContext._jvm
+    memory, pid = jvm.org.apache.spark.unsafe.Platform, jvm.java.lang.ProcessHandle.current().pid()
+    # blocks below the size that C's heap maps one by one; the last of each 50 stays, so that the freed ones lie between used ones
+    at = [memory.allocateMemory(100_000) for _ in range(1000)]
+    for i, x in enumerate(at):
+        memory.setMemory(x, 1, 100_000)
+    kept = at[49::50]
+    for x in set(at) - set(kept):
+        memory.freeMemory(x)
+    before = _held_mb(pid)
+    assert "Trim native heap" in common.give_back(spark)
+    after = _held_mb(pid)
+    for x in kept:
+        memory.freeMemory(x)
+    assert before - after > 50, (before, after)
+
+
+def test_pipeline_stages_give_driver_memory_back(spark, monkeypatch):
+    import corpus_pipeline
+
+    calls = []
+    monkeypatch.setattr(corpus_pipeline, "give_back", calls.append)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    for name, stage in corpus_pipeline.STAGES:
+        calls.clear()
+        stage(spark, docs, SF)
+        assert calls == [spark, spark], name
+
+
+def test_benchmark_words_take_few_powers(monkeypatch):
+    monkeypatch.setattr(op3_decontamination, "_powers", [])
+    block = op3_decontamination.Block([("a", b"one two three four"), (None, b"five")], 10)
+    assert len(op3_decontamination._powers[0]) <= 64 and len(block.hashes) == 5
+    few = op3_decontamination.words_of(b"one two three four")[2]
+    many = op3_decontamination.words_of(b"one two three four " + b"x " * 5000)[2]
+    assert len(op3_decontamination._powers[0]) > 10_000 and few.tolist() == many[:4].tolist()
