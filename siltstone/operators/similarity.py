@@ -49,27 +49,69 @@ def coefficients(lanes: int = LANES, seed: int = _SEED) -> tuple[np.ndarray, np.
     return np.maximum(x[:lanes], np.uint64(1)), x[lanes:]
 
 
+#: Bytes of text whose shingles are hashed together; a longer text is one by itself.
+SLICE = 4_000_000
+_SPACE = 32
+_NORMAL = np.arange(256, dtype=np.uint8)
+_NORMAL[[*range(9, 14), *range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = _SPACE
+
+
+def _normalized(x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """normalized() of lower-cased texts that lie end to end, as bytes; their ends. A space at a text's end stays."""
+    x = _NORMAL[x]
+    space = x == _SPACE
+    first = np.zeros(len(x) + 1, bool)
+    first[ends] = first[0] = True
+    kept = ~space
+    kept[1:] |= space[1:] & ~space[:-1]
+    kept &= ~(space & first[:-1])
+    return x[kept], np.concatenate([[0], np.cumsum(kept)])[ends]
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
+
+
+def _signed(x: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A row of lanes a text of lower-cased texts that lie end to end. Shingles that texts share are hashed once, and one lane is held at a time."""
+    out, found, which = np.zeros((len(ends), len(a)), np.int64), [], []
+    x, ends = _normalized(x, ends)
+    x = x.astype(np.uint64)
+    codes = sum(x[k : max(0, len(x) - SHINGLE + 1) + k] << np.uint64(8 * k) for k in range(SHINGLE))
+    for i, (start, end) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+        end -= end > start and x[end - 1] == _SPACE
+        if end - start >= SHINGLE:
+            found.append(_distinct(codes[start : end - SHINGLE + 1]))
+            which.append(i)
+    if not which:
+        return out
+    every, first = np.concatenate(found), np.cumsum([0, *map(len, found[:-1])])
+    one = _distinct(every)
+    place, h = np.searchsorted(one, every), _reduced(_mixed(one) >> np.uint64(2))
+    for lane in range(len(a)):
+        out[which, lane] = np.minimum.reduceat(_reduced(_product(a[lane], h) + b[lane]).astype(np.int64)[place], first)
+    return out
+
+
 def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, sig): minima of LANES linear hashes over the SHINGLE-byte shingles of the normalized text; zeros for shorter texts."""
     a, b = coefficients()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for t in batch.column(1).to_pylist():
-                x = np.frombuffer((t or "").encode(), np.uint8).astype(np.uint64)
-                if len(x) < SHINGLE:
-                    out.append([0] * LANES)
-                    continue
-                h = sum(x[k : len(x) - SHINGLE + 1 + k] << np.uint64(8 * k) for k in range(SHINGLE))
-                h = _reduced(_mixed(np.unique(h)) >> np.uint64(2))
-                least = np.full(LANES, PRIME, np.uint64)
-                for k in range(0, len(h), 4096):
-                    np.minimum(least, _reduced(_product(a[:, None], h[None, k : k + 4096]) + b[:, None]).min(1), out=least)
-                out.append(least.astype(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "sig"])
-
-    return docs.select("doc_id", normalized(text).alias("t")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, sig array<long>")
+            data = batch.column(1).cast(pa.large_binary()).fill_null(b"")
+            at = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+            k = 0
+            while k < len(data):
+                to = max(k + 1, int(np.searchsorted(at, at[k] + SLICE, "right")) - 1)
+                x = np.frombuffer(data.buffers()[2], np.uint8)[at[k] : at[to]] if at[to] > at[k] else np.zeros(0, np.uint8)
+                sig = _signed(x, at[k + 1 : to + 1] - at[k], a, b)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(to - k + 1, dtype=np.int32) * LANES), pa.array(sig.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, to - k), lists], names=["doc_id", "sig"])
+                k = to
+
+    return docs.select("doc_id", F.lower(text).alias("t")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, sig array<long>")
 
 
 def jaccard(a: str, b: str) -> Column:

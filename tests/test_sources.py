@@ -429,3 +429,21 @@ def test_related_and_deep_taxonomy(spark):
         taxonomy.related(e, start, "up")
     with pytest.raises(ValueError, match="deeper"):
         taxonomy.closure(e, max_rounds=2)
+
+
+def test_minhash_signs_each_text_once(spark):
+    """Lanes by definition for odd texts; the pairs are read from a table of signatures, which are not computed again for each use."""
+    odd = ["The  quick, brown fox!", "", None, "...", "abcd", " abcde ", "-abcde-", "ÄÖÜ ß\u00a0é, x\t\ny", "a" * 50, "the quick brown fox", "\x1fabc\x7f def", "x" * 3 + "!" * 9 + "yz"]
+    d = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").repartition(1)
+    texts = {r.doc_id: r.t for r in d.select("doc_id", similarity.normalized("text").alias("t")).collect()}
+    a, b = (x[:4].tolist() for x in similarity.coefficients())
+
+    def lanes(t):
+        codes = {int.from_bytes(t[i : i + 5], "little") for i in range(len(t) - 4)}
+        mixed = [int(similarity._mixed(np.array([c], np.uint64))[0]) >> 2 for c in codes]
+        return [min(((p * (m % similarity.PRIME) + q) % similarity.PRIME for m in mixed), default=0) for p, q in zip(a, b)]
+
+    got = {r.doc_id: list(r.sig) for r in similarity.signatures(d).collect()}
+    assert len(got) == len(odd) and all(got[i][:4] == lanes((t or "").encode()) for i, t in texts.items())
+    plan = catalogue.QUERIES["minhash_jaccard"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan
