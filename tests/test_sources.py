@@ -447,3 +447,45 @@ def test_minhash_signs_each_text_once(spark):
     assert len(got) == len(odd) and all(got[i][:4] == lanes((t or "").encode()) for i, t in texts.items())
     plan = catalogue.QUERIES["minhash_jaccard"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "MapInArrow" not in plan
+
+
+def test_a_task_keeps_k_rows_of_a_query(spark):
+    """Of many slices and many equal rows, k leave a task for each query, ties to the smaller id; filters hold, and nulls agree with nulls."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(3000, 4)).round(1)
+    v[::3] = [1.0, 0.5, 0.0, 0.0]
+    part = [None if i % 7 == 0 else i % 3 for i in range(3000)]
+    e = spark.createDataFrame([(i, v[i].tolist(), part[i]) for i in rng.permutation(3000).tolist()], "id int, v array<double>, p int").repartition(1)
+    q = spark.createDataFrame([(i, v[i].tolist(), part[i]) for i in range(0, 3000, 4)], "query_id int, q array<double>, own int")
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    assert len(unit) * q.count() > 2 * retrieval.CELLS
+    for how, ok in (({}, lambda i, j: True), ({"same": ("own", "p")}, lambda i, j: part[i] == part[j]), ({"differ": ("query_id", "id")}, lambda i, j: i != j), ({"threshold": 0.9}, lambda i, j: np.round(unit[i] @ unit[j], 12) >= 0.9)):
+        found = retrieval.scored(q, e, k=3, **how).collect()
+        got = collections.defaultdict(list)
+        for r in found:
+            got[r.query_id].append(r.id)
+        assert max(map(len, got.values())) <= 3
+        for i in range(0, 3000, 156):
+            s = np.round(unit @ unit[i], 12)
+            want = [j for j in np.lexsort((np.arange(3000), -s)).tolist() if ok(i, j)][:3]
+            assert sorted(got[i]) == sorted(want), (how, i)
+    names = retrieval.scored(q.limit(1), e.select(F.concat(F.lit("x"), "id").alias("id"), "v"), k=2).collect()
+    assert len(names) == 2
+
+
+def test_relevant_rows_by_class(spark):
+    """Counts by class score as the table of all relevant pairs does, with classes of one row, none and null."""
+    rng = np.random.default_rng(2)
+    rows = [(i, None if i % 11 == 0 else int(rng.integers(0, 6)) if i else 77) for i in range(120)]
+    e = spark.createDataFrame(rows, "id int, class int")
+    q = spark.createDataFrame([(i, rows[i][1]) for i in range(0, 120, 5)] + [(500, 3), (501, 99), (1, 77)], "query_id int, class int")
+    ranked = spark.createDataFrame([(r[0], int(x), n + 1) for r in q.collect() for n, x in enumerate(rng.choice(120, 15, replace=False))], "query_id int, id int, rank int")
+    for itself in (True, False):
+        pairs = q.join(e, "class").select("query_id", "id", F.lit(1).alias("rel"))
+        pairs = pairs if itself else pairs.where("id <> query_id")
+        by = evaluation.judged_by_class(ranked, q, e, 20, itself)
+        for k in (1, 10):
+            assert sorted(evaluation.judged_scores(*by, k).collect()) == sorted(evaluation.per_query(ranked, pairs, k).collect())
+        assert evaluation.cut_means(*by, (1, 5)).collect() == evaluation.at_cuts(ranked, pairs, (1, 5)).collect()
+    plan = catalogue.QUERIES["eval_at_cuts"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") <= 1
