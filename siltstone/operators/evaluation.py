@@ -6,17 +6,50 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def per_query(ranked: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
-    """ranked(query_id, id, rank), qrels(query_id, id, rel > 0) -> (query_id, recall, mrr, ndcg, hit) at k. A query without a result scores 0."""
-    q = qrels.groupBy("query_id").agg(F.count("*").alias("n"))
+def judged(ranked: DataFrame, qrels: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(totals, hits) of ranked(query_id, id, rank), qrels(query_id, id, rel > 0): the number of relevant rows of each query and its k best gains; the relevant rows found at rank k or before."""
     ideal = qrels.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rel"), "id"))).where(F.col("_r") <= k)
-    ideal = ideal.groupBy("query_id").agg(F.sum((F.pow(F.lit(2.0), F.col("rel")) - 1) / F.log2(F.col("_r") + 1)).alias("idcg"))
-    first = ranked.groupBy("query_id", "id").agg(F.min("rank").alias("rank")).where(F.col("rank") <= k)
-    hits = first.join(qrels, ["query_id", "id"])
-    got = hits.groupBy("query_id").agg(F.count("*").alias("found"), F.min("rank").alias("best"), F.sum((F.pow(F.lit(2.0), F.col("rel")) - 1) / F.log2(F.col("rank") + 1)).alias("dcg"))
-    j = q.join(ideal, "query_id").join(got, "query_id", "left")
+    ideal = ideal.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", F.coalesce(F.col("rel").cast("double"), F.lit(0.0)).alias("rel")))), lambda x: x["rel"]).alias("best_rels"))
+    totals = qrels.groupBy("query_id").agg(F.count("*").alias("n")).join(ideal, "query_id")
+    return totals, _first(ranked, k).join(qrels, ["query_id", "id"]).select("query_id", "id", "rank", "rel")
+
+
+def judged_by_class(ranked: DataFrame, queries: DataFrame, rows: DataFrame, k: int, itself: bool = True) -> tuple[DataFrame, DataFrame]:
+    """judged() where the rows of a query's own class are relevant, all alike, of queries(query_id, class) and rows(id, class); `itself`: also the row whose id is the query's.
+
+    The relevant rows are counted by class and looked up for the found rows only: as tables they grow with queries times rows.
+    """
+    asked, sizes = queries.select("query_id", "class"), rows.groupBy("class").agg(F.count("*").alias("n"))
+    totals = asked.join(sizes, "class")
+    hits = _first(ranked, k).join(asked, "query_id").join(rows.select("id", "class"), ["id", "class"])
+    if not itself:
+        own = asked.join(rows.select(F.col("id").alias("query_id"), "class"), ["query_id", "class"]).groupBy("query_id").agg(F.count("*").alias("own"))
+        totals = totals.join(own, "query_id", "left").withColumn("n", F.col("n") - F.coalesce("own", F.lit(0)))
+        hits = hits.where("id <> query_id")
+    rels = F.expr(f"array_repeat(1D, cast(least(n, {k}) AS int))")
+    return totals.where("n > 0").select("query_id", "n", rels.alias("best_rels")), hits.select("query_id", "id", "rank", F.lit(1).alias("rel"))
+
+
+def _first(ranked: DataFrame, k: int) -> DataFrame:
+    return ranked.groupBy("query_id", "id").agg(F.min("rank").alias("rank")).where(F.col("rank") <= k)
+
+
+def judged_scores(totals: DataFrame, hits: DataFrame, k: int, cuts: tuple[int, ...] = ()) -> DataFrame:
+    """(query_id, recall, mrr, ndcg, hit) at k of judged(), and recall_K for each cut. A query without a result scores 0."""
+    there = F.col("rank") <= k
+    gain = F.when(there, (F.pow(F.lit(2.0), F.col("rel")) - 1) / F.log2(F.col("rank") + 1))
+    found = {"recall": k} | {f"recall_{c}": c for c in cuts}
+    got = hits.groupBy("query_id").agg(F.min(F.when(there, F.col("rank"))).alias("best"), F.sum(gain).alias("dcg"), *[F.count_if(F.col("rank") <= c).alias(f"_{name}") for name, c in found.items()])
+    ideal = F.expr(f"aggregate(transform(slice(best_rels, 1, {k}), (r, i) -> (pow(2D, r) - 1) / log2(i + 2)), 0D, (s, x) -> s + x)")
+    j = totals.join(got, "query_id", "left")
     zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 9)
-    return j.select("query_id", zero(F.col("found") / F.col("n")).alias("recall"), zero(1.0 / F.col("best")).alias("mrr"), zero(F.try_divide(F.col("dcg"), F.col("idcg"))).alias("ndcg"), F.col("best").isNotNull().alias("hit"))
+    recall = {name: zero(F.col(f"_{name}") / F.col("n")).alias(name) for name in found}
+    return j.select("query_id", recall.pop("recall"), zero(1.0 / F.col("best")).alias("mrr"), zero(F.try_divide(F.col("dcg"), ideal)).alias("ndcg"), F.col("best").isNotNull().alias("hit"), *recall.values())
+
+
+def per_query(ranked: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
+    """ranked(query_id, id, rank), qrels(query_id, id, rel > 0) -> (query_id, recall, mrr, ndcg, hit) at k. A query without a result scores 0."""
+    return judged_scores(*judged(ranked, qrels, k), k)
 
 
 def means(scores: DataFrame, *by: str) -> DataFrame:
@@ -56,14 +89,14 @@ CUTS = (1, 5, 10, 20)
 
 def at_cuts(ranked: DataFrame, qrels: DataFrame, cuts: tuple[int, ...] = CUTS) -> DataFrame:
     """(n, recall_K for each cut, mrr_10, ndcg_10, hit_rate_10): means over all judged queries."""
-    out = None
-    for k in sorted({*cuts, 10}):
-        s = per_query(ranked, qrels, k)
-        cols = ([F.avg("recall").alias(f"recall_{k}")] if k in cuts else []) + ([F.count("*").alias("n"), F.avg("mrr").alias("mrr_10"), F.avg("ndcg").alias("ndcg_10"), F.avg(F.col("hit").cast("double")).alias("hit_rate_10")] if k == 10 else [])
-        row = s.agg(*[c for c in cols])
-        out = row if out is None else out.crossJoin(row)  # one row each
-    names = ["n", *(f"recall_{k}" for k in cuts), "mrr_10", "ndcg_10", "hit_rate_10"]
-    return out.select("n", *[F.round(c, 6).alias(c) for c in names[1:]])
+    return cut_means(*judged(ranked, qrels, max(*cuts, 10)), cuts)
+
+
+def cut_means(totals: DataFrame, hits: DataFrame, cuts: tuple[int, ...] = CUTS) -> DataFrame:
+    """at_cuts() of judged() at the largest cut, or at 10 if that is more. All cuts in one pass over the ranked rows."""
+    s = judged_scores(totals, hits, 10, cuts)
+    means = {**{f"recall_{k}": f"recall_{k}" for k in cuts}, "mrr_10": "mrr", "ndcg_10": "ndcg"}
+    return s.agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(name) for name, c in means.items()], F.round(F.avg(F.col("hit").cast("double")), 6).alias("hit_rate_10"))
 
 
 def by_document(ranked: DataFrame) -> DataFrame:
