@@ -27,55 +27,127 @@ def page_columns(items: DataFrame, gap: float = 40.0) -> DataFrame:
     return j.withColumn("reading_order", F.row_number().over(Window.partitionBy("page").orderBy("column_no", F.desc("y"), "x", "seq")).cast("long"))
 
 
-def _row_numbers(y: np.ndarray) -> np.ndarray:
-    """Rows of items sorted from top to bottom: a row holds what lies less than ROW_GAP below its first item."""
-    out, row, top = np.zeros(len(y), np.int64), 0, y[0] if len(y) else 0.0
-    for i, v in enumerate(y.tolist()):
-        if abs(v - top) >= ROW_GAP:
-            row, top = row + 1, v
-        out[i] = row
-    return out
-
-
-def _column_places(x: np.ndarray) -> np.ndarray:
-    """Means of groups of sorted places; a place within COLUMN_GAP of a group's mean so far joins it."""
-    out, total, n = [], float(x[0]), 1
-    for v in x[1:].tolist():
-        if abs(v - total / n) < COLUMN_GAP:
-            total, n = total + v, n + 1
-        else:
-            out.append(total / n)
-            total, n = v, 1
-    return np.array([*out, total / n])
+def _each(starts: np.ndarray, ends: np.ndarray, first, step) -> None:
+    """A fold over each group of items at once: first(groups, items), then step(groups, items) for the second item of each, the third and so on."""
+    groups = np.argsort(starts - ends, kind="stable")  # the longest first
+    size = (ends - starts)[groups]
+    first(groups, starts[groups])
+    for k in range(1, int(size[0]) if len(size) else 0):
+        groups = groups[: np.searchsorted(-size, -k)]
+        step(groups, starts[groups] + k)
+
+
+def _row_starts(y: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether an item begins a row, of pages whose items are sorted from top to bottom: a row holds what lies less than ROW_GAP below its first item."""
+    new, top = np.zeros(len(y), bool), np.zeros(len(starts))
+
+    def first(g, i):
+        new[i], top[g] = True, y[i]
+
+    def step(g, i):
+        far = np.abs(y[i] - top[g]) >= ROW_GAP
+        new[i[far]], top[g[far]] = True, y[i[far]]
+
+    _each(starts, ends, first, step)
+    return new
+
+
+def _columns(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The column of each item of tables that lie end to end: columns are the means of groups of sorted places, a place within COLUMN_GAP of a group's mean so far joins it; an item belongs to the nearest."""
+    of = np.repeat(np.arange(len(starts)), ends - starts)
+    sorted_x = x[np.lexsort((x, of))]
+    last, total, n, mean = np.zeros(len(starts), np.int64), np.zeros(len(starts)), np.ones(len(starts)), np.full(len(x), np.nan)
+
+    def first(g, i):
+        total[g] = mean[i] = sorted_x[i]
+
+    def step(g, i):
+        v = sorted_x[i]
+        joins = np.abs(v - total[g] / n[g]) < COLUMN_GAP
+        total[g], n[g], last[g] = np.where(joins, total[g] + v, v), np.where(joins, n[g] + 1, 1), last[g] + ~joins
+        mean[starts[g] + last[g]] = total[g] / n[g]
+
+    _each(starts, ends, first, step)
+    column, best, left = np.zeros(len(x), np.int64), np.abs(x - mean[starts[of]]), np.arange(len(x))
+    for k in range(1, int(last.max(initial=0)) + 1):
+        left = left[last[of[left]] >= k]
+        d = np.abs(x[left] - mean[starts[of[left]] + k])
+        nearer = (d < best[left]) | (np.isnan(d) & ~np.isnan(best[left]))
+        best[left[nearer]], column[left[nearer]] = d[nearer], k
+    return column
+
+
+def _laid_out(x: np.ndarray, y: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row_no, place, table_no, column_no) of items of pages that lie end to end; -1 outside tables."""
+    new = _row_starts(y, starts, ends)
+    row = np.cumsum(new) - 1
+    at = np.append(np.flatnonzero(new), len(x))  # where rows begin
+    page = np.repeat(np.arange(len(starts)), ends - starts)
+    wide, of_page = np.diff(at) >= LEAST_COLUMNS, page[at[:-1]]
+    # runs of rows of one page that are all wide, or all not
+    run = np.flatnonzero(np.concatenate([[True], (wide[1:] != wide[:-1]) | (of_page[1:] != of_page[:-1])])[: len(wide)])
+    upto = np.append(run[1:], len(wide))
+    good = wide[run] & (upto - run >= LEAST_ROWS)
+    a, z = at[run[good]], at[upto[good]]  # the tables' items
+    number, tables_of = np.arange(len(a)), of_page[run[good]]
+    number = number - np.searchsorted(tables_of, tables_of)
+    table, column = np.full(len(x), -1), np.full(len(x), -1)
+    size = z - a
+    ends_in = np.cumsum(size)
+    items = np.repeat(a - (ends_in - size), size) + np.arange(int(size.sum()))
+    table[items] = np.repeat(number, size)
+    column[items] = _columns(x[items], ends_in - size, ends_in)
+    order = np.lexsort((np.arange(len(row)), x, row))
+    place = np.empty(len(row), np.int64)
+    place[order] = np.arange(len(row)) - at[row]  # rows lie in order
+    return row - row[starts][page], place, table, column
+
+
+def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole pages from rows sorted by the two keys in front, with where pages begin."""
+
+    def starts(t: pa.Table | pa.RecordBatch) -> np.ndarray:
+        codes = [pa.array(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c).dictionary_encode("encode").indices.to_numpy() for c in (t.column(0), t.column(1))]
+        return np.flatnonzero(np.concatenate([[True], (codes[0][1:] != codes[0][:-1]) | (codes[1][1:] != codes[1][:-1])]))
+
+    def done(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        return t, starts(t)
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cut = int(starts(b)[-1])
+        key = lambda x, i: [repr(x.column(k)[i].as_py()) for k in (0, 1)]
+        if held and key(held[-1], held[-1].num_rows - 1) != key(b, 0):
+            yield done(held)
+            held = []
+        if cut:
+            yield done([*held, b.slice(0, cut)])
+            held = []
+        held.append(b.slice(cut))
+    if held:
+        yield done(held)
 
 
 def rows_and_tables(items: DataFrame) -> DataFrame:
     """items with row_no (from the top), place in the row, table_no and column_no (null outside tables).
 
     A table is a run of LEAST_ROWS and more rows with LEAST_COLUMNS and more items each; its columns are the groups of its
-    items' places, and an item belongs to the nearest.
+    items' places, and an item belongs to the nearest. Items are sorted by page, and the pages of a batch laid out together.
     """
     keys = ["doc_id", "page"]
     kinds = [items.schema[k].dataType.simpleString() for k in keys]
-    rows = items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("d"), "seq", "x", "y", "text"))).alias("i"))
+    rows = items.select(*keys, "seq", "x", "y", "text").repartition(*keys).sortWithinPartitions(*keys, -F.col("y"), "seq", "x", "y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for n, page in enumerate(b.column(2).to_pylist()):
-                y, x = np.array([i["y"] for i in page], float), np.array([i["x"] for i in page], float)
-                row = _row_numbers(y)
-                wide = np.bincount(row) >= LEAST_COLUMNS
-                edge = np.flatnonzero(np.diff(wide, prepend=False, append=False))
-                table, column = np.full(len(row), -1), np.full(len(row), -1)
-                for t, (a, z) in enumerate((a, z) for a, z in zip(edge[::2], edge[1::2]) if z - a >= LEAST_ROWS):
-                    of = np.flatnonzero((row >= a) & (row < z))
-                    table[of] = t
-                    column[of] = np.abs(x[of][:, None] - _column_places(np.sort(x[of]))[None, :]).argmin(1)
-                order = np.lexsort((np.arange(len(row)), x, row))
-                place = np.empty(len(row), np.int64)
-                place[order] = np.arange(len(row)) - np.searchsorted(row[order], row[order])
-                made = [pa.array([i["seq"] for i in page], pa.int64()), pa.array(x), pa.array(y), pa.array([i["text"] for i in page], pa.string()), pa.array(row), pa.array(place), pa.array(table, mask=table < 0), pa.array(column, mask=column < 0)]
-                yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array([n] * len(page), pa.int64())) for k in (0, 1)), *made], names=[*keys, "seq", "x", "y", "text", "row_no", "place", "table_no", "column_no"])
+        for t, starts in _whole_pages(batches):
+            seq, text = t.column("seq").cast(pa.int64()), t.column("text").cast(pa.string())
+            x, y = (t.column(c).cast(pa.float64()).to_numpy().astype(np.float64) for c in ("x", "y"))
+            row, place, table, column = _laid_out(x, y, starts, np.append(starts[1:], len(x)))
+            made = [pa.array(x), pa.array(y), text, pa.array(row), pa.array(place), pa.array(table, mask=table < 0), pa.array(column, mask=column < 0)]
+            yield from pa.table([t.column(0), t.column(1), seq, *made], names=[*keys, "seq", "x", "y", "text", "row_no", "place", "table_no", "column_no"]).to_batches(max_chunksize=1 << 16)
 
     return rows.mapInArrow(run, f"doc_id {kinds[0]}, page {kinds[1]}, seq long, x double, y double, text string, row_no long, place long, table_no long, column_no long")
 
@@ -90,10 +162,10 @@ def _table_markdown(rows: Column) -> Column:
 def tables(marked: DataFrame) -> DataFrame:
     """(doc_id, page, table_no, rows, text) of rows_and_tables(): cells of a row and column are joined by spaces."""
     cell = marked.where("table_no IS NOT NULL").groupBy("doc_id", "page", "table_no", "row_no", "column_no").agg(F.array_join(F.array_sort(F.collect_list(F.struct("place", "text")))["text"], " ").alias("cell"))
-    width = cell.groupBy("doc_id", "page", "table_no").agg((F.max("column_no") + 1).alias("w"))
-    by = cell.groupBy("doc_id", "page", "table_no", "row_no").agg(F.map_from_entries(F.collect_list(F.struct("column_no", "cell"))).alias("m")).join(width, ["doc_id", "page", "table_no"])
-    cells = F.expr("transform(sequence(0L, w - 1), k -> coalesce(try_element_at(m, k), ''))")
-    out = by.groupBy("doc_id", "page", "table_no").agg(F.array_sort(F.collect_list(F.struct("row_no", cells.alias("c"))))["c"].alias("rows"))
+    by = cell.groupBy("doc_id", "page", "table_no", "row_no").agg(F.map_from_entries(F.collect_list(F.struct("column_no", "cell"))).alias("m"), (F.max("column_no") + 1).alias("w"))
+    whole = by.groupBy("doc_id", "page", "table_no").agg(F.array_sort(F.collect_list(F.struct("row_no", F.map_entries("m").alias("m")))).alias("x"), F.max("w").alias("w"))
+    cells = F.expr("transform(x, r -> transform(array(map_from_entries(r.m)), m -> transform(sequence(0L, w - 1), k -> coalesce(try_element_at(m, k), '')))[0])")
+    out = whole.select("doc_id", "page", "table_no", cells.alias("rows"))
     return out.withColumn("text", _table_markdown(F.col("rows")))
 
 

@@ -489,3 +489,61 @@ def test_relevant_rows_by_class(spark):
         assert evaluation.cut_means(*by, (1, 5)).collect() == evaluation.at_cuts(ranked, pairs, (1, 5)).collect()
     plan = catalogue.QUERIES["eval_at_cuts"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") <= 1
+
+
+def _page_by_hand(page):
+    """(row_no, place, table_no, column_no) of a page's sorted items, an item at a time."""
+    number = lambda v: math.nan if v is None else float(v)
+    rows, top = [], None
+    for n, (_, _, x, y, _) in enumerate(page):
+        if top is None or abs(number(y) - top) >= 3:
+            rows, top = [*rows, []], number(y)
+        rows[-1].append(n)
+    out, tables, run = {}, 0, []
+    for r, row in enumerate([*rows, []]):
+        xs = [number(page[n][2]) for n in row]
+        for place, k in enumerate(sorted(range(len(row)), key=lambda k: (math.isnan(xs[k]), 0 if math.isnan(xs[k]) else xs[k], k))):
+            out[row[k]] = [r, place, None, None]
+        if len(row) >= 2:
+            run += [row]
+            continue
+        if len(run) >= 2:
+            every = np.array([number(page[n][2]) for row in run for n in row])
+            groups = []
+            for v in np.sort(every).tolist():
+                if groups and abs(v - groups[-1][0] / groups[-1][1]) < 10:
+                    groups[-1] = (groups[-1][0] + v, groups[-1][1] + 1)
+                else:
+                    groups.append((v, 1))
+            for n, v in zip((n for row in run for n in row), every):
+                out[n][2:] = [tables, int(np.abs(v - np.array([a / b for a, b in groups])).argmin())]
+            tables += 1
+        run = []
+    return [tuple(out[n]) for n in range(len(page))]
+
+
+def test_pages_are_laid_out_together(spark):
+    """Pages of any length, in batches that cut them, as an item at a time; also with places that are null or NaN, and null keys."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for doc, page, n in [("a", 1, 300), ("a", 2, 1), (None, 1, 40), ("a", None, 25), *(("b", int(p), int(rng.integers(1, 30))) for p in range(60))]:
+        for k in range(n):
+            x, y = float(rng.integers(0, 40) * 4), float(rng.integers(0, 1 + n // 3) * 2.5)
+            rows.append((doc, page, k, None if k % 41 == 40 else math.nan if k % 53 == 52 else x, None if k == 19 and doc == "b" and page % 9 == 0 else y, f"t{k}"))
+    items = spark.createDataFrame(rows, "doc_id string, page int, seq long, x double, y double, text string")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = collections.defaultdict(dict)
+        for r in pages.rows_and_tables(items).collect():
+            got[r.doc_id, r.page][r.seq] = (r.row_no, r.place, r.table_no, r.column_no)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    by = collections.defaultdict(list)
+    for doc, page, seq, x, y, t in rows:
+        by[doc, page].append((y is not None, -(y or 0.0), seq, x, y, t))
+    assert set(by) == set(got) and any(v[2] is not None for v in got["a", 1].values())
+    for key, page in by.items():
+        page = [(d, seq, x, y, t) for _, d, seq, x, y, t in sorted(page, key=lambda p: p[:3])]
+        assert [got[key][p[1]] for p in page] == _page_by_hand(page), key
+    assert "ObjectHashAggregate" not in pages.rows_and_tables(items)._jdf.queryExecution().executedPlan().toString()
