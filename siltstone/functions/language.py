@@ -7,6 +7,8 @@ detectors are large and not ours; the README gives the accuracy measured on the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ SCRIPTS = {
     "ja": r"[぀-ヿ]", "ko": r"[가-힯]", "zh": r"[一-鿿]", "uk": r"[іїєґІЇЄҐ]", "ru": r"[Ѐ-ӿ]", "ar": r"[؀-ۿ]",
     "he": r"[֐-׿]", "el": r"[Ͱ-Ͽ]", "th": r"[฀-๿]", "hi": r"[ऀ-ॿ]",
 }
+# Characters before those of all SCRIPTS.
+LATIN = r"[\x00-\u036F]+"
 # Three-letter codes by two-letter ones.
 THREE = {"en": "eng", "es": "spa", "de": "deu", "fr": "fra", "zh": "cmn", "ru": "rus", "pt": "por", "it": "ita", "nl": "nld", "ar": "arb", "ja": "jpn", "ko": "kor"}
 # Two-letter codes by three-letter ones; others are undetermined.
@@ -50,16 +54,29 @@ def two_letters(code: Column) -> Column:
     return F.when(code.isNotNull(), F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in TWO.items() for x in p]), code), F.lit("und")))
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def detect(text: Column) -> Column:
     """struct(language, confidence); both null where nothing tells."""
-    words = F.split(F.lower(text), r"[^\p{L}]+")
+    return _bound(text, _detected)
+
+
+def _detected(text: Column) -> Column:
+    known = sorted({w for v in WORDS.values() for w in v.split()})
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w.isin(known))
+    return _bound(words, lambda w: _bound(F.regexp_replace(text, LATIN, ""), lambda rest: _best(rest, w)))
+
+
+def _best(rest: Column, words: Column) -> Column:
+    """Of the characters behind Latin script and of the function words of any language."""
     among = lambda known: F.size(F.filter(words, lambda w: w.isin(known))).cast("double")
     counted = [F.struct(among(v.split()).alias("n"), F.lit(k).alias("k")) for k, v in WORDS.items()]
     # letters of other scripts weigh more than Latin words: they are counted as a word each
-    counted += [F.struct((F.char_length(text) - F.char_length(F.regexp_replace(text, p, ""))).cast("double").alias("n"), F.lit(k).alias("k")) for k, p in SCRIPTS.items()]
-    best = F.sort_array(F.array(*counted), asc=False)
-    one = F.transform(F.array(best), lambda b: F.when(b[0]["n"] > 0, F.struct(b[0]["k"].alias("language"), ((b[0]["n"] - b[1]["n"]) / b[0]["n"]).alias("confidence"))))
-    return F.element_at(one, 1)
+    counted += [F.struct((F.char_length(rest) - F.char_length(F.regexp_replace(rest, p, ""))).cast("double").alias("n"), F.lit(k).alias("k")) for k, p in SCRIPTS.items()]
+    return _bound(F.sort_array(F.array(*counted), asc=False), lambda b: F.when(b[0]["n"] > 0, F.struct(b[0]["k"].alias("language"), ((b[0]["n"] - b[1]["n"]) / b[0]["n"]).alias("confidence"))))
 
 
 def of_documents(elements: DataFrame, confidence: float = 0.5) -> DataFrame:
@@ -83,5 +100,5 @@ def filtered(text: Column, target: str = "en", policy: str = "drop") -> Column:
     """The text, or an empty one if it has LEAST bytes and another language is told; the policy `flag` keeps all."""
     if policy == "flag":
         return text
-    other = F.coalesce(detect(text)["language"] != target, F.lit(False))
-    return F.when((F.octet_length(text) >= LEAST) & other, "").otherwise(text)
+    other = lambda t: F.coalesce(detect(t)["language"] != target, F.lit(False))
+    return _bound(text, lambda t: F.when((F.octet_length(t) >= LEAST) & other(t), "").otherwise(t))

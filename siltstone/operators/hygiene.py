@@ -38,7 +38,8 @@ def chain(chunks: DataFrame, documents: DataFrame, filters: list[Callable[[Colum
     for f in filters:
         text = f(text)
     trimmed = F.regexp_replace("_t", r"\A\s+|\s+\z", "")
-    c = chunks.join(d.select("doc_id", "_bad", "kev_flag"), "doc_id").where("NOT _bad").withColumn("_t", text).withColumn("_new", trimmed)
+    # exploded, so that what is read of the new texts below does not copy the filters into every place
+    c = chunks.join(d.select("doc_id", "_bad", "kev_flag"), "doc_id").where("NOT _bad").select("*", F.explode(F.array(text)).alias("_t")).select("*", F.explode(F.array(trimmed)).alias("_new"))
     out = c.where("_new <> ''").select(*[x for x in chunks.columns if x not in ("text", "char_count")], F.col("_new").alias("text"), F.octet_length("_new").cast("long").alias("char_count"), "kev_flag")
     did = c.agg(F.count_if((F.col("_new") != "") & (F.octet_length("_t") != F.octet_length("text"))).alias("chunks_stripped"), F.count_if(F.col("_new") == "").alias("chunks_lang_dropped"), F.count_if((F.col("_new") != "") & F.coalesce("kev_flag", F.lit(False))).alias("chunks_kev_tagged"))
     return out, d.agg(F.count_if("_bad").alias("docs_rejected")).crossJoin(did)  # one row each

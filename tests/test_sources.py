@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siltstone import catalogue
 from siltstone.functions import embed, filters, stem
-from siltstone.operators import context, corpora, evaluation, retrieval, similarity, taxonomy
+from siltstone.operators import context, corpora, evaluation, hygiene, retrieval, similarity, taxonomy
 from siltstone.plans import index
 from siltstone.plans import query as Q
 from siltstone.sources import feeds, files, markdown, markup, office, pages
@@ -547,3 +547,13 @@ def test_pages_are_laid_out_together(spark):
         page = [(d, seq, x, y, t) for _, d, seq, x, y, t in sorted(page, key=lambda p: p[:3])]
         assert [got[key][p[1]] for p in page] == _page_by_hand(page), key
     assert "ObjectHashAggregate" not in pages.rows_and_tables(items)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_of_chunks_are_computed_once(spark):
+    """The chain's plan names each pattern once, and texts of all kinds pass as before."""
+    c = spark.createDataFrame([(1, 0, " the dog and the cat are in the house of it "), (2, 0, "der Hund und die Katze sind in das Haus"), (3, 0, None), (4, 0, "** REJECT **"), (5, 0, "Это текст на русском языке"), (6, 0, "kurz")], "doc_id long, chunk_index int, text string")
+    d = c.select("doc_id", F.lit("x").alias("vuln_status"))
+    out, stats = hygiene.security_profile(c, d)
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(1, "the dog and the cat are in the house of it"), (6, "kurz")]
+    assert stats.first().asDict() == {"docs_rejected": 0, "chunks_stripped": 0, "chunks_lang_dropped": 3, "chunks_kev_tagged": 0}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("REJECT") == 1
