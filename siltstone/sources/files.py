@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import slices
 from . import formats, markdown, markup, office, parsers
 from .markup import Element, Parsed
 
@@ -69,11 +70,11 @@ SCHEMA = "path string, format string, title string, metadata map<string,string>,
 
 
 def parse(files: DataFrame, registry: dict[str, Callable[[bytes], Parsed]] | None = None) -> DataFrame:
-    """files(path, content, format) -> SCHEMA, a row a file."""
+    """files(path, content, format) -> SCHEMA, a row a file. A worker holds the elements of a slice of its files."""
     registry = REGISTRY if registry is None else registry
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             out = []
             for path, content, kind in zip(*(b.column(i).to_pylist() for i in range(3))):
                 meta, found, error = {}, [], None
