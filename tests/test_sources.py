@@ -557,3 +557,30 @@ def test_filters_of_chunks_are_computed_once(spark):
     assert sorted((r.doc_id, r.text) for r in out.collect()) == [(1, "the dog and the cat are in the house of it"), (6, "kurz")]
     assert stats.first().asDict() == {"docs_rejected": 0, "chunks_stripped": 0, "chunks_lang_dropped": 3, "chunks_kev_tagged": 0}
     assert out._jdf.queryExecution().optimizedPlan().toString().count("REJECT") == 1
+
+
+def test_slices_of_batches():
+    import pyarrow as pa
+
+    from siltstone.functions.shared import slices
+
+    texts = ["aa", None, "", "b" * 9, "cc", "dé", "e"]
+    b = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["i", "t"])
+    assert [p.column(0).to_pylist() for p in slices(b, 1, 4)] == [[0, 1, 2], [3], [4], [5, 6]] and [p.num_rows for p in slices(b.slice(3), 1, 4)] == [1, 1, 2] and list(slices(b.slice(0, 0), 1)) == []
+    assert [len(p) for p in slices(pa.RecordBatch.from_arrays([pa.array([b"x" * 5] * 4)], names=["c"]), 0, 10)] == [2, 2]
+
+
+def test_stemmed_search_stems_the_vocabulary(spark, monkeypatch):
+    """Scores as of texts of stems, with the query's terms sent or joined; no array of words goes to Python for the documents."""
+    texts = ["Hopping rabbits hop; a rabbit hopped.", "The running runner", None, "", "hops and rabbits", "cats"]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    q = spark.createDataFrame([(1, "rabbit hops rabbits"), (2, "cat run"), (3, "")], "query_id int, text string")
+    said = [None if t is None else " ".join(stem.stem(w) for w in "".join(c if c.isalnum() else " " for c in t.lower()).split()) for t in texts]
+    asked = [(1, "rabbit hop"), (2, "cat run"), (3, "")]
+    want = sorted(retrieval.bm25(spark.createDataFrame(asked, q.schema), spark.createDataFrame(list(enumerate(said)), d.schema), 5).collect())
+    for few in (retrieval.FEW, 0):
+        monkeypatch.setattr(retrieval, "FEW", few)
+        found = retrieval.bm25(q, d, 5, stems=True)
+        assert sorted(found.collect()) == want and {r.id for r in want} == {0, 1, 4, 5}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(1 for line in plan.split("\n") if "ArrowEvalPython" in line and "word#" in line.split("]")[0]) >= 1
